@@ -67,13 +67,7 @@ def diff_language(spark, sf):
 
 @query
 def diff_followup(spark, sf):
-    both = [
-        differences.followup_difference(
-            I.graded(spark, sf).where(F.col("lang") == lang), names=I.NAMES
-        ).withColumn("lang", F.lit(lang))
-        for lang in I.LANGS
-    ]
-    return gr.combine(both)
+    return differences.followup_difference(I.graded(spark, sf), names=I.NAMES, langs=I.LANGS)
 
 
 @query

@@ -10,9 +10,15 @@ from quizlens.values import (
     END_OF_TEXT,
     RENDERED_PREFIX_EXCESS,
     WHITESPACE_CHARS,
-    WHITESPACE_CLASS,
 )
 
+# One class for all white space. Latin-1 members are listed one by one, which
+# Java tests with one bit set; all others sit behind one range test, which most
+# characters fail at once. A flat list of ranges takes more than twice as long.
+_LATIN = "".join(c for c in WHITESPACE_CHARS if ord(c) < 256)
+_WIDE = "".join(c for c in WHITESPACE_CHARS if ord(c) >= 256)
+_WHITESPACE_RUN = f"[{_LATIN}[{min(_WIDE)}-{max(_WIDE)}&&[{_WIDE}]]]+"
+
 
 def strip_text(text: Column) -> Column:
     """Remove all Unicode white space at both ends.
@@ -25,7 +31,7 @@ def strip_text(text: Column) -> Column:
 
 def collapse_ws(text: Column) -> Column:
     """Turn each run of white space into one blank; the ends are not stripped."""
-    return F.regexp_replace(text, WHITESPACE_CLASS + "+", " ")
+    return F.regexp_replace(text, _WHITESPACE_RUN, " ")
 
 
 def drop_newlines(text: Column) -> Column:

@@ -24,10 +24,9 @@ def _doubles(values: Iterable[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def ratio_distances(width: Column, height: Column, grids: Sequence[tuple[int, int]]) -> Column:
-    """How far the picture's aspect ratio is from each grid's, as an array."""
-    ratio = width.cast("double") / height.cast("double")
-    return F.transform(_doubles(c / r for c, r in grids), lambda other: F.abs(ratio - other))
+def ratio_distances(ratio: Column, grids: Sequence[tuple[int, int]]) -> Column:
+    """How far an aspect ratio is from each grid's, as an array."""
+    return F.array(*[F.abs(ratio - F.lit(c / r)) for c, r in grids])
 
 
 def closest_grid(width: Column, height: Column, distances: Column, nearest: Column,

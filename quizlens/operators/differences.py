@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quizlens.functions import outcomes as O
+from quizlens.operators.literals import literal_table
 from quizlens.values import DISPLAY_NAMES, OUTCOMES
 
 ALL_NAMES = tuple(DISPLAY_NAMES.values())
@@ -14,29 +15,35 @@ ALL_NAMES = tuple(DISPLAY_NAMES.values())
 
 def outcome_difference(data: DataFrame, before: Column, after: Column,
                        names: Sequence[str] = ALL_NAMES, strict: bool = False,
-                       outcomes: Sequence[str] = OUTCOMES,
+                       outcomes: Sequence[str] = OUTCOMES, langs: Sequence[str] | None = None,
                        weight: str | None = None) -> DataFrame:
     """Per name, the count of each outcome in ``after`` minus that in ``before``.
 
-    There is one row for every listed name, in the order ``display_order``.
+    There is one row for every listed name, in the order ``display_order``, or
+    one per name and language when ``langs`` is given.
     Names without rows get zeros; strict raises when a name has no label on
     either side. Outcomes that are not listed, and nulls, do not count.
 
     The zero rows come from one extra row per name that is added before the
     aggregation, so no join is needed.
     """
+    keys = ["algorithm"] if langs is None else ["algorithm", "lang"]
     weight_col = F.lit(1) if weight is None else F.col(weight)
-    rows = data.where(F.col("algorithm").isin(*names)).select(
-        "algorithm", before.alias("before"), after.alias("after"),
+    wanted = data.where(F.col("algorithm").isin(*names))
+    if langs is not None:
+        wanted = wanted.where(F.col("lang").isin(*langs))
+    rows = wanted.select(
+        *keys, before.alias("before"), after.alias("after"),
         weight_col.cast("bigint").alias("weight"),
     )
-    zero = data.sparkSession.createDataFrame([(name,) for name in names], "algorithm string")
+    zero = literal_table(data.sparkSession, ", ".join(f"{k} string" for k in keys), [
+        (name,) if langs is None else (name, lang) for name in names for lang in langs or [None]])
     rows = rows.unionByName(zero, allowMissingColumns=True)
 
     def answers(condition: Column) -> Column:
         return F.sum(F.when(condition, F.col("weight")).otherwise(F.lit(0))).cast("bigint")
 
-    grouped = rows.groupBy("algorithm").agg(
+    grouped = rows.groupBy(*keys).agg(
         answers(F.col("before").isNotNull()).alias("labels_before"),
         answers(F.col("after").isNotNull()).alias("labels_after"),
         *[(answers(F.col("after") == o) - answers(F.col("before") == o)).alias(o)
@@ -48,7 +55,7 @@ def outcome_difference(data: DataFrame, before: Column, after: Column,
         missing = (F.col("labels_before") == 0) | (F.col("labels_after") == 0)
         name = F.when(missing, F.raise_error(F.concat(
             F.lit("no labels for: "), name)).cast("string")).otherwise(name)
-    return grouped.select(name.alias("algorithm"), *outcomes,
+    return grouped.select(name.alias("algorithm"), *keys[1:], *outcomes,
                           (order - 1).cast("int").alias("display_order"))
 
 

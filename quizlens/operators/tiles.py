@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quizlens.functions.tiling import candidate_grids, closest_grid, ratio_distances
+from quizlens.operators.literals import literal_table
 from quizlens.values import MAX_TILES, MIN_TILES, TILE_SIZE
 
 
@@ -12,7 +13,7 @@ def grid_table(spark: SparkSession, min_tiles: int = MIN_TILES,
                max_tiles: int = MAX_TILES) -> DataFrame:
     """The candidate grids with their rank in area order."""
     rows = [(c, r, c * r, i) for i, (c, r) in enumerate(candidate_grids(min_tiles, max_tiles))]
-    return spark.createDataFrame(rows, "cols int, rows int, area int, grid_rank int")
+    return literal_table(spark, "cols int, rows int, area int, grid_rank int", rows)
 
 
 def plan_grids(images: DataFrame, min_tiles: int = MIN_TILES, max_tiles: int = MAX_TILES,
@@ -25,7 +26,8 @@ def plan_grids(images: DataFrame, min_tiles: int = MIN_TILES, max_tiles: int = M
     grids = candidate_grids(min_tiles, max_tiles)
     width, height = F.col("width"), F.col("height")
     chosen = (
-        images.withColumn("_distances", ratio_distances(width, height, grids))
+        images.withColumn("_ratio", width.cast("double") / height.cast("double"))
+        .withColumn("_distances", ratio_distances(F.col("_ratio"), grids))
         .withColumn("_nearest", F.array_min("_distances"))
         .withColumn("grid_rank", closest_grid(
             width, height, F.col("_distances"), F.col("_nearest"), grids, tile_size))
@@ -33,7 +35,7 @@ def plan_grids(images: DataFrame, min_tiles: int = MIN_TILES, max_tiles: int = M
     cols = F.array(*[F.lit(c) for c, _ in grids])
     rows = F.array(*[F.lit(r) for _, r in grids])
     return (
-        chosen.drop("_distances", "_nearest")
+        chosen.drop("_ratio", "_distances", "_nearest")
         .withColumns({"cols": F.get(cols, "grid_rank"), "rows": F.get(rows, "grid_rank")})
         .withColumns({
             "blocks": F.col("cols") * F.col("rows"),
@@ -46,16 +48,12 @@ def plan_grids(images: DataFrame, min_tiles: int = MIN_TILES, max_tiles: int = M
 def grid_usage(images: DataFrame, min_tiles: int = MIN_TILES, max_tiles: int = MAX_TILES,
                tile_size: int = TILE_SIZE) -> DataFrame:
     """Every candidate grid with the number of pictures that take it, zero included."""
-    used = (
-        plan_grids(images, min_tiles, max_tiles, tile_size)
-        .groupBy("grid_rank").agg(F.count(F.lit(1)).alias("images"))
-    )
-    # ``used`` has at most one row per candidate grid.
-    return (
-        grid_table(images.sparkSession, min_tiles, max_tiles)
-        .join(F.broadcast(used), "grid_rank", "left")
-        .withColumn("images", F.coalesce("images", F.lit(0)).cast("bigint"))
-    )
+    keys = ["cols", "rows", "area", "grid_rank"]
+    taken = plan_grids(images, min_tiles, max_tiles, tile_size).select(
+        "cols", "rows", F.col("blocks").alias("area"), "grid_rank", F.lit(1).alias("images"))
+    every = grid_table(images.sparkSession, min_tiles, max_tiles).withColumn("images", F.lit(0))
+    return taken.unionByName(every).groupBy(*keys).agg(
+        F.sum("images").cast("bigint").alias("images"))
 
 
 def tile_boxes(grids: DataFrame, tile_size: int = TILE_SIZE, thumbnail: bool = True) -> DataFrame:

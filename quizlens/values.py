@@ -62,7 +62,7 @@ ECHO_AFTER = " [/INST] "
 RENDERED_PREFIX_EXCESS = 7
 
 # --- Fixed values: white space as Python's str methods and re module see it --
-# (BMP code points; the second form is the same class for Java and RE2 patterns)
+# (BMP code points; the second form is the same class for RE2 patterns)
 WHITESPACE_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
