@@ -20,7 +20,7 @@ from quizlens.operators import (
     requests,
     tiles,
 )
-from quizlens.plans import analyse
+from quizlens.plans import analyse, ask
 from quizlens.session import new_path
 from quizlens.sources import answers, catalogue as cat, graded as gr, listing, tables
 
@@ -239,7 +239,7 @@ def dialogue_turn2(spark, sf):
 @query
 def answer_stub(spark, sf):
     answered = answering.answer_two_questions(
-        _model_requests(spark, sf), answering.make_plain_responder, store=False)
+        ask.spread(_model_requests(spark, sf)), answering.make_plain_responder, store=False)
     return answered.select("image_id", "model", "lang", "answer_1", "answer_2")
 
 
@@ -342,10 +342,8 @@ def scan_bytes(spark, sf):
 
 @query
 def scan_graded(spark, sf):
-    folder, rows = new_path(spark, "graded"), I.graded_file(spark, sf)
-    for lang in I.LANGS:
-        one = gr.file_header(rows.where(F.col("lang") == lang))
-        tables.write_table(one, f"{folder}/models_{lang}.tsv", sep="\t")
+    folder = new_path(spark, "graded")
+    tables.write_graded(I.graded_file(spark, sf), folder)
     scanned = gr.read_graded(spark, folder)
     return scanned.withColumn("score", gr.score_value(F.col("score_1")))
 

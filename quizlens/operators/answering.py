@@ -16,7 +16,7 @@ from quizlens import schemas
 from quizlens.functions.cleaning import clean_by_model
 from quizlens.functions.text import record_line
 from quizlens.operators.requests import ask_first, ask_second
-from quizlens.session import checkpointed
+from quizlens.session import stored
 from quizlens.values import POLICIES, RENDERED_PREFIX_EXCESS, ModelPolicy
 
 Responder = Callable[[pd.DataFrame], Sequence[str]]
@@ -63,7 +63,7 @@ def answer_two_questions(requests: DataFrame, make_responder: Callable[[], Respo
     first = answer_batches(
         ask_first(requests).withColumn("dialogue", F.col("dialogue_1")).drop("dialogue_1"),
         make_responder, "raw_1")
-    first = checkpointed(first) if store else first
+    first = stored(first, "first-answers") if store else first
     first = first.drop("dialogue").withColumn(
         "answer_1", clean_by_model(F.col("raw_1"), model, {p.model: p.clean_1 for p in policies}, cols))
     first = first.withColumn(

@@ -24,8 +24,8 @@ def outcome_difference(data: DataFrame, before: Column, after: Column,
     Names without rows get zeros; strict raises when a name has no label on
     either side. Outcomes that are not listed, and nulls, do not count.
 
-    The zero rows come from one extra row per name that is added before the
-    aggregation, so no join is needed.
+    Answers are first counted per pair of labels, which leaves a few rows per
+    name. The zero rows come from one extra row per name, so no join is needed.
     """
     keys = ["algorithm"] if langs is None else ["algorithm", "lang"]
     weight_col = F.lit(1) if weight is None else F.col(weight)
@@ -36,14 +36,15 @@ def outcome_difference(data: DataFrame, before: Column, after: Column,
         *keys, before.alias("before"), after.alias("after"),
         weight_col.cast("bigint").alias("weight"),
     )
+    pairs = rows.groupBy(*keys, "before", "after").agg(F.sum("weight").alias("weight"))
     zero = literal_table(data.sparkSession, ", ".join(f"{k} string" for k in keys), [
         (name,) if langs is None else (name, lang) for name in names for lang in langs or [None]])
-    rows = rows.unionByName(zero, allowMissingColumns=True)
+    pairs = pairs.unionByName(zero, allowMissingColumns=True)
 
     def answers(condition: Column) -> Column:
         return F.sum(F.when(condition, F.col("weight")).otherwise(F.lit(0))).cast("bigint")
 
-    grouped = rows.groupBy(*keys).agg(
+    grouped = pairs.groupBy(*keys).agg(
         answers(F.col("before").isNotNull()).alias("labels_before"),
         answers(F.col("after").isNotNull()).alias("labels_after"),
         *[(answers(F.col("after") == o) - answers(F.col("before") == o)).alias(o)

@@ -16,8 +16,11 @@ def small_side(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
 
     At most ``max_rows + 1`` rows are read to decide. A small table is kept as
     a local relation, so that it is not computed a second time. A larger one is
-    joined by shuffle, where adaptive execution splits a hot key.
+    joined by shuffle, where adaptive execution splits a hot key. A table that
+    is known to be large need not be tried: give ``max_rows=0``.
     """
+    if max_rows <= 0:
+        return dim
     head = dim.limit(max_rows + 1).toArrow()
     if head.num_rows > max_rows or head.nbytes > max_bytes:
         return dim

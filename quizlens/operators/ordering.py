@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quizlens.session import checkpointed
+from quizlens.session import stored
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
@@ -25,15 +25,15 @@ def with_position(data: DataFrame, keys: Sequence[str], name: str = "index") ->
     ``keys`` should identify a row, otherwise equal rows take any order.
     """
     mark, part = "_mark", "_part"
-    stored = checkpointed(
-        data.orderBy(*keys).withColumn(mark, F.monotonically_increasing_id())
+    ordered = stored(
+        data.orderBy(*keys).withColumn(mark, F.monotonically_increasing_id()), "sorted"
     ).withColumn(part, F.shiftright(mark, _ROW_BITS))
-    sizes = stored.groupBy(part).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = ordered.groupBy(part).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(part, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     place = F.col(mark).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return (
-        stored.join(F.broadcast(offsets), part)
+        ordered.join(F.broadcast(offsets), part)
         .withColumn(name, F.col("_offset") + place)
         .drop(mark, part, "_offset")
     )

@@ -14,7 +14,7 @@ from quizlens.operators.metrics import (
     outcome_counts_by_language,
     outcome_cube,
 )
-from quizlens.session import checkpointed
+from quizlens.session import stored
 from quizlens.sources.tables import write_table
 
 WEIGHT = "answers"
@@ -29,7 +29,7 @@ def report(enriched: DataFrame, names: Sequence[str] = ALL_NAMES, strict: bool =
     per table.
     """
     cube = outcome_cube(enriched)
-    cube = add_flags(checkpointed(cube) if store else cube)
+    cube = add_flags(stored(cube, "cube") if store else cube)
     tables = {}
     for lang in ("eng", "ita"):
         rows = cube.where(F.col("lang") == lang)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quizlens.operators.answering import Responder, answer_two_questions
 from quizlens.operators.requests import add_policy, add_subject, pair_requests, parse_listing
-from quizlens.session import checkpointed
+from quizlens.session import stored
 from quizlens.sources.answers import append_answer_lines, append_answers
 from quizlens.sources.catalogue import read_catalogue
 from quizlens.sources.listing import list_files
@@ -18,19 +18,23 @@ from quizlens.values import DEFAULT_LANG
 def ask(spark: SparkSession, picture_folder: str, catalogue_path: str, model: str,
         make_responder: Callable[[], Responder], langs: Sequence[str] = (DEFAULT_LANG,),
         prefix: str | None = "./dataset/", store: bool = True) -> DataFrame:
-    """Put both questions about every picture to one model.
-
-    The listing is spread over the cluster again before the model runs: a file
-    listing has few partitions, and a model call costs far more than a shuffle
-    of paths.
-    """
+    """Put both questions about every picture to one model."""
     pictures = add_subject(
         parse_listing(list_files(spark, picture_folder, prefix=prefix)),
         read_catalogue(spark, catalogue_path),
     )
     requests = add_policy(pair_requests(pictures, langs).withColumn("model", F.lit(model)))
-    spread = requests.repartition(spark.sparkContext.defaultParallelism)
-    return answer_two_questions(spread, make_responder, store=store)
+    return answer_two_questions(spread(requests), make_responder, store=store)
+
+
+def spread(requests: DataFrame, tasks_per_core: int = 1) -> DataFrame:
+    """Deal the requests out to all cores.
+
+    A file listing has few partitions, and a model call costs far more than a
+    shuffle of paths. More tasks per core lose less work with an executor.
+    """
+    cores = requests.sparkSession.sparkContext.defaultParallelism
+    return requests.repartition(cores * tasks_per_core)
 
 
 def save(answers: DataFrame, folder: str, line_folder: str | None = None) -> None:
@@ -40,6 +44,6 @@ def save(answers: DataFrame, folder: str, line_folder: str | None = None) -> Non
     answers and no model answers twice.
     """
     if line_folder is not None:
-        answers = checkpointed(answers)
+        answers = stored(answers, "answers")
         append_answer_lines(answers, line_folder)
     append_answers(answers, folder)

@@ -17,9 +17,9 @@ _HEADER = T.StructType([
 ])
 
 
-def file_header(graded: DataFrame) -> DataFrame:
+def header_columns() -> list[Column]:
     """The columns under the names and in the order that the files use."""
-    return graded.select(*[F.col(n).alias(h) for h, n in schemas.GRADED_HEADER.items()])
+    return [F.col(name).alias(header) for header, name in schemas.GRADED_HEADER.items()]
 
 
 def read_graded(spark: SparkSession, folder: str, langs: Sequence[str] = LANGS) -> DataFrame:

@@ -7,20 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from quizlens.operators.ordering import with_position
-from quizlens.sources.graded import file_header
+from quizlens.sources.graded import header_columns
 
 
 def write_table(data: DataFrame, path: str, sep: str = ",", index_keys: Sequence[str] = (),
-                mode: str = "overwrite") -> None:
+                folder_by: Sequence[str] = (), mode: str = "overwrite") -> None:
     """Write with header. Blanks at the ends of cells are kept, unlike by default.
 
-    With ``index_keys`` the first column is the position in their order.
+    With ``index_keys`` the first column is the position in their order. With
+    ``folder_by`` one pass over the rows fills a folder per value.
     """
     if index_keys:
         columns = data.columns
         data = with_position(data, index_keys).select("index", *columns)
     (
-        data.write.mode(mode)
+        data.write.mode(mode).partitionBy(*folder_by)
         .option("sep", sep).option("header", True)
         .option("quote", '"').option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
@@ -28,6 +29,12 @@ def write_table(data: DataFrame, path: str, sep: str = ",", index_keys: Sequence
     )
 
 
+def write_graded(graded: DataFrame, folder: str) -> None:
+    """Write graded rows tab-separated, with one ``…{lang}.tsv`` folder per language."""
+    name = F.concat(F.lit("graded_"), F.col("lang"), F.lit(".tsv")).alias("file")
+    write_table(graded.select(*header_columns(), name), folder, sep="\t", folder_by=["file"])
+
+
 def write_combined(graded: DataFrame, path: str, tie_breaks: Sequence[str] = ()) -> None:
     """Write graded rows by path, ``|`` separated, after a column of row labels.
 
@@ -35,6 +42,5 @@ def write_combined(graded: DataFrame, path: str, tie_breaks: Sequence[str] = ())
     cost no second pass over the rows.
     """
     ordered = graded.orderBy("path", "model", *tie_breaks)
-    labelled = file_header(ordered).select(
-        F.monotonically_increasing_id().alias("row_label"), "*")
+    labelled = ordered.select(F.monotonically_increasing_id().alias("row_label"), *header_columns())
     write_table(labelled, path, sep="|")
