@@ -347,8 +347,8 @@ ORACLES = {
         select position, position // 5 as grid_row, position % 5 as grid_col, source, file, label
         from placed where position < 40""",
     "combined_sorted":
-        f"""with {FILES} select path, left(model, length(model) - 4) as algorithm, lang, answer_1,
-          subject_1 from graded_file order by path, algorithm, answer_1""",
+        f"""with {FILES} select path, model, lang, answer_1, subject_1 from graded_file
+        order by path, model""",
     "indexed_table":
         f"""with {GRADED}, counts as (select picture, subject_1, count(*) as count from graded
           group by all)

@@ -307,9 +307,8 @@ def gallery_grid(spark, sf):
 
 @query
 def combined_sorted(spark, sf):
-    rows = I.graded_file(spark, sf).withColumn("algorithm", O.without_lang(F.col("model")))
-    return ordering.combined_order(rows, "answer_1").select(
-        "path", "algorithm", "lang", "answer_1", "subject_1")
+    return ordering.combined_order(I.graded_file(spark, sf)).select(
+        "path", "model", "lang", "answer_1", "subject_1")
 
 
 @query
@@ -359,7 +358,7 @@ def combine_graded(spark, sf):
 @query
 def roundtrip_combined(spark, sf):
     path = new_path(spark, "combined")
-    tables.write_combined(I.graded_file(spark, sf), path, ["answer_1"])
+    tables.write_combined(I.graded_file(spark, sf), path)
     return gr.read_combined(spark, path)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from quizlens.operators.ordering import with_position
+from quizlens.operators.ordering import combined_order, with_position
 from quizlens.sources.graded import header_columns
 
 
@@ -35,12 +35,12 @@ def write_graded(graded: DataFrame, folder: str) -> None:
     write_table(graded.select(*header_columns(), name), folder, sep="\t", folder_by=["file"])
 
 
-def write_combined(graded: DataFrame, path: str, tie_breaks: Sequence[str] = ()) -> None:
+def write_combined(graded: DataFrame, path: str) -> None:
     """Write graded rows by path, ``|`` separated, after a column of row labels.
 
     The labels only tell rows apart, so they are unique but not consecutive and
     cost no second pass over the rows.
     """
-    ordered = graded.orderBy("path", "model", *tie_breaks)
+    ordered = combined_order(graded)
     labelled = ordered.select(F.monotonically_increasing_id().alias("row_label"), *header_columns())
     write_table(labelled, path, sep="|")

@@ -190,7 +190,7 @@ def test_lookup_demands_exactly_one_row(spark):
 
 def test_combined_order(spark):
     data = [("b", "m1"), ("a", "m2"), ("a", "m1"), ("i1_x", "m"), ("i10_x", "m")]
-    frame = spark.createDataFrame(data, "path string, algorithm string")
+    frame = spark.createDataFrame(data, "path string, model string")
     assert [tuple(r) for r in ordering.combined_order(frame).collect()] == sorted(data)
 
 
@@ -209,6 +209,17 @@ def test_position_over_many_partitions_with_a_hot_key(spark):
     assert found == [(n, *row) for n, row in enumerate(sorted(data))]
 
 
+def test_hot_path_is_cut_into_several_partitions(spark):
+    frame = spark.range(0, 300_000, 1, 6).select(F.lit("p").alias("path"), F.lit("m").alias("model"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = ordering.combined_order(frame).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in sizes) == 300_000
+    assert max(r["count"] for r in sizes) < 100_000
+
+
 def test_position_of_empty_frame(spark):
     empty = spark.createDataFrame([], "k string")
     assert ordering.with_position(empty, ["k"]).collect() == []
