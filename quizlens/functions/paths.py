@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
@@ -43,9 +44,5 @@ def source_class(path: Column, strict: bool = True) -> Column:
 
 def is_image(name: Column, suffixes: Iterable[str] = IMAGE_SUFFIXES) -> Column:
     """The lower-cased name ends with one of the suffixes."""
-    lowered = F.lower(name)
-    matches = [F.endswith(lowered, F.lit(suffix)) for suffix in suffixes]
-    result = matches[0]
-    for match in matches[1:]:
-        result = result | match
-    return result
+    endings = "|".join(re.escape(suffix) for suffix in suffixes)
+    return F.lower(name).rlike(f"({endings})\\z")
