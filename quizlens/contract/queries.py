@@ -329,7 +329,8 @@ def scan_catalogue(spark, sf):
 
 @query
 def scan_listing(spark, sf):
-    return listing.list_files(spark, sf, "*.parquet", prefix="./dataset/", recursive=True)
+    files = listing.list_files(spark, sf, "*.parquet", prefix="./dataset/", recursive=True)
+    return files.select("path", "length")
 
 
 @query

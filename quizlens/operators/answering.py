@@ -20,16 +20,16 @@ from quizlens.session import stored
 from quizlens.values import POLICIES, RENDERED_PREFIX_EXCESS, ModelPolicy
 
 Responder = Callable[[pd.DataFrame], Sequence[str]]
-REQUEST_COLUMNS = ("dialogue", "path", "model", "max_new_tokens", "decoding")
+REQUEST_COLUMNS = ("dialogue", "path", "uri", "model", "max_new_tokens", "decoding")
 
 
 def answer_batches(requests: DataFrame, make_responder: Callable[[], Responder], column: str,
                    inputs: Sequence[str] = REQUEST_COLUMNS) -> DataFrame:
     """Add ``column``: the responder's answer to each row.
 
-    This is the only place where rows go to Python, in Arrow batches. Only the
-    ``inputs`` travel; the other columns wait in the JVM, which an operator over
-    whole rows would send there and back. The column is marked as not
+    This is the only place where rows go to Python, in Arrow batches. Only those
+    ``inputs`` that are present travel; the other columns wait in the JVM, which an
+    operator over whole rows would send there and back. The column is marked as not
     deterministic, so that the optimizer never asks a model twice for one answer.
     """
     @F.pandas_udf("string")
@@ -38,7 +38,7 @@ def answer_batches(requests: DataFrame, make_responder: Callable[[], Responder],
         for batch in batches:
             yield pd.Series(list(responder(batch)), dtype=object)
 
-    request = F.struct(*[F.col(name) for name in inputs])
+    request = F.struct(*[F.col(name) for name in inputs if name in requests.columns])
     return requests.withColumn(column, respond.asNondeterministic()(request))
 
 
@@ -62,9 +62,9 @@ def answer_two_questions(requests: DataFrame, make_responder: Callable[[], Respo
 
     first = answer_batches(
         ask_first(requests).withColumn("dialogue", F.col("dialogue_1")).drop("dialogue_1"),
-        make_responder, "raw_1")
+        make_responder, "raw_1").drop("dialogue")
     first = stored(first, "first-answers") if store else first
-    first = first.drop("dialogue").withColumn(
+    first = first.withColumn(
         "answer_1", clean_by_model(F.col("raw_1"), model, {p.model: p.clean_1 for p in policies}, cols))
     first = first.withColumn(
         "remembered", F.when(F.col("raw_history"), F.col("raw_1")).otherwise(F.col("answer_1")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quizlens.functions.paths import base_name
@@ -12,7 +15,7 @@ def list_files(spark: SparkSession, folder: str, pattern: str | None = None,
     """``path`` and ``length`` of the files in a folder; no file is opened.
 
     With ``prefix`` the path is the prefix and the file name, such as
-    ``./dataset/i1_flore.jpg``, instead of the full address.
+    ``./dataset/i1_flore.jpg``, and the full address moves to ``uri``.
     """
     listing = _files(spark, folder, pattern, recursive).select("path", "length")
     return _with_prefix(listing, prefix)
@@ -35,4 +38,18 @@ def _files(spark: SparkSession, folder: str, pattern: str | None, recursive: boo
 def _with_prefix(listing: DataFrame, prefix: str | None) -> DataFrame:
     if prefix is None:
         return listing
-    return listing.withColumn("path", F.concat(F.lit(prefix), base_name(F.col("path"))))
+    return listing.withColumns({
+        "uri": F.col("path"),
+        "path": F.concat(F.lit(prefix), base_name(F.col("path"))),
+    })
+
+
+def load_bytes(uri: str) -> bytes:
+    """The content of one file, for a responder that opens pictures in its task.
+
+    So the pictures go from storage to the task that asks about them, and never
+    through a shuffle.
+    """
+    filesystem, path = fs.FileSystem.from_uri(quote(uri, safe="/:"))
+    with filesystem.open_input_file(path) as file:
+        return file.read()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quizlens.operators import answering, requests
 from quizlens.plans import ask as ask_plan
 from quizlens.sources import answers as answer_files
+from quizlens.sources.listing import load_bytes
 from quizlens.values import POLICIES, PROMPTS
 
 Q1, Q2 = PROMPTS["eng"][1], PROMPTS["eng"][2].replace("CITY", "Roma")
@@ -193,6 +194,9 @@ def test_ask_from_folder_to_files(spark, tmp_path):
         ("2", "./dataset/i2_other_b.jpg", "other", "Milano", "Duomo"),
         ("2", "./dataset/i2_wiki.jpeg", "wiki", "Milano", "Duomo")]
     assert read[0].answer_2.startswith("Sei a Verona, qual è")
+    seen = ask_plan.ask(spark, str(folder), str(tmp_path / "catalogue.csv"), "molmo",
+                        lambda: lambda batch: [load_bytes(uri).decode() for uri in batch["uri"]])
+    assert {(r.answer_1, r.answer_2) for r in seen.collect()} == {("not a picture", "not a picture")}
     ask_plan.save(found, out, lines)
     assert spark.read.parquet(out).count() == 6
     assert answer_files.read_answers(spark, lines).count() == 6

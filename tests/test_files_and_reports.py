@@ -143,7 +143,12 @@ def test_listing_reads_no_content(spark, tmp_path):
     (tmp_path / "i1_flore.jpg").write_bytes(b"1234")
     (tmp_path / "b.txt").write_bytes(b"1")
     listed = listing.list_files(spark, str(tmp_path), "*.jpg", prefix="./dataset/")
-    assert [tuple(r) for r in listed.collect()] == [("./dataset/i1_flore.jpg", 4)]
+    row = listed.first()
+    assert (listed.count(), row.path, row.length) == (1, "./dataset/i1_flore.jpg", 4)
+    assert listing.load_bytes(row.uri) == b"1234"
+    (tmp_path / "i2 50%25 é.jpeg").write_bytes(b"odd name")
+    odd = listing.list_files(spark, str(tmp_path), "*.jpeg", prefix="").first()
+    assert odd.path == "i2 50%25 é.jpeg" and listing.load_bytes(odd.uri) == b"odd name"
     plan = listed._jdf.queryExecution().executedPlan().toString()
     assert "content" not in re.search(r"ReadSchema: (.*)", plan).group(1)
     assert listing.read_bytes(spark, str(tmp_path), "*.jpg").first().content == b"1234"
