@@ -221,9 +221,12 @@ ORACLES = {
     "picture_outcomes_city": _picture_counts("city_1"),
     "picture_outcomes_combo":
         f"""with {GRADED} select picture,
-          concat(subject_1, case lang when 'eng' then ' (EN)' else ' (IT)' end) as subject_1,
-          count(*) as count, case lang when 'eng' then 0 else 1 end as lang_order
-        from graded where subject_1 is not null group by picture, lang, graded.subject_1""",
+          concat(city_1, case lang when 'eng' then ' (EN)' else ' (IT)' end) as city_1,
+          count(*) as count, case lang when 'eng' then 0 else 1 end as lang_order,
+          case concat(graded.city_1, lang) when 'OKita' then 0 when 'OKeng' then 1 when 'NOita' then 2
+            when 'NOeng' then 3 when 'ERRita' then 4 when 'ERReng' then 5
+            when 'PARita' then 6 when 'PAReng' then 7 end as display_order
+        from graded where city_1 is not null group by picture, lang, graded.city_1""",
     "outcome_counts":
         f"""with {GRADED} select algorithm, subject_2, count(*) as count
         from graded where subject_2 is not null group by all""",

@@ -52,7 +52,7 @@ def picture_outcomes_city(spark, sf):
 
 @query
 def picture_outcomes_combo(spark, sf):
-    return metrics.outcome_counts_by_language(I.graded(spark, sf, picture=True), "subject_1")
+    return metrics.outcome_counts_by_language(I.graded(spark, sf, picture=True), "city_1")
 
 
 @query

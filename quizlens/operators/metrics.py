@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quizlens.functions import outcomes as O
+from quizlens.values import OUTCOMES
 
 FLAGS = {
     "subject_accuracy": "subject_ok",
@@ -62,15 +63,20 @@ def outcome_counts_by_language(data: DataFrame, outcome: str, by: Sequence[str]
                                weight: str | None = None) -> DataFrame:
     """Outcome counts of both languages in one table, ``OK (EN)`` beside ``OK (IT)``.
 
-    ``lang_order`` puts English first.
+    ``lang_order`` puts English first. ``display_order`` is the order of the bars:
+    by outcome, Italian before English; other outcomes than the usual come last.
     """
     counts = outcome_counts(data.where(F.col("lang").isin("eng", "ita")),
                             ["lang", *by], outcome, weight)
+    english = F.col("lang") == "eng"
+    found = F.array_position(F.array(*[F.lit(o) for o in OUTCOMES]), F.col(outcome))
+    place = F.when(found > 0, found - 1).otherwise(len(OUTCOMES))
     return counts.select(
         *by,
         O.tag_language(F.col(outcome), F.col("lang")).alias(outcome),
         "count",
-        F.when(F.col("lang") == "eng", 0).otherwise(1).alias("lang_order"),
+        F.when(english, 0).otherwise(1).alias("lang_order"),
+        (place * 2 + F.when(english, 1).otherwise(0)).cast("int").alias("display_order"),
     )
 
 

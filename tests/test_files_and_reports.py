@@ -152,7 +152,7 @@ def test_listing_reads_no_content(spark, tmp_path):
     plan = listed._jdf.queryExecution().executedPlan().toString()
     assert "content" not in re.search(r"ReadSchema: (.*)", plan).group(1)
     assert listing.read_bytes(spark, str(tmp_path), "*.jpg").first().content == b"1234"
-    assert listing.list_files(spark, str(tmp_path)).count() == 2
+    assert listing.list_files(spark, str(tmp_path)).count() == 3
 
 
 def test_indexed_table(spark, tmp_path):
@@ -207,6 +207,16 @@ def test_shipped_labels_give_the_baseline(spark):
     every = metrics.accuracy(enriched, ["algorithm", "lang"]).collect()
     for r in every:
         assert r.subject_accuracy_2q == wanted[r.algorithm, r.lang, "all"][2][0] / 41
+    excluded = enriched.where("path not like '%i17_wiki_portici%'")
+    assert excluded.count() == enriched.count() - 10
+    without = {(r.algorithm, r.lang, r.dataset): r for r in
+               metrics.accuracy(excluded, ["algorithm", "lang", "dataset"]).collect()}
+    for row in cells:
+        if len(row) == 9 and row[2] == "wiki":
+            subject, city, twice, rows = map(int, re.findall(r"\d+", row[7]))
+            r = without[row[0], row[1], "wiki"]
+            assert (r.subject_accuracy, r.city_accuracy, r.subject_accuracy_2q) == (
+                subject / rows, city / rows, twice / rows)
     # differences
     numbers = [(row[0], row[1], tuple(map(int, row[2:]))) for row in cells
                if len(row) == 5 and all(re.fullmatch(r"-?\d+", c) for c in row[2:])]
