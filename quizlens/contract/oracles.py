@@ -1,4 +1,4 @@
-"""For each query, SQL over the given tables that must return the same rows."""
+"""For every query, SQL over the given tables that must return the same rows."""
 
 from __future__ import annotations
 
@@ -360,6 +360,12 @@ ORACLES = {
     "scan_catalogue":
         f"""with {CATALOGUE} select id, subject, city, id % 3 = 0 as flore, id % 3 = 1 as wiki,
           id % 3 = 2 as other from catalogue""",
+    "scan_listing":
+        """select lang, cast(sum(strlen(text) + 1) as bigint) as bytes from documents group by lang""",
+    "scan_bytes":
+        """select lang, cast(sum(strlen(text) + 1) as bigint) as bytes,
+          cast(sum(length(text) - length(replace(text, chr(10), '')) + 1) as bigint) as lines
+        from documents group by lang""",
     "scan_graded":
         f"""with {FILES} select *, case score_1 when '0' then 0.0 when '1' then 1.0
           when '0,5' then 0.5 when '*0,5' then 0.5 end::double as score from graded_file""",

@@ -327,17 +327,31 @@ def scan_catalogue(spark, sf):
     return cat.source_flags(cat.read_catalogue(spark, path))
 
 
+def _text_files(spark, sf):
+    """A folder of text files in one folder per language, none of them very large."""
+    folder = new_path(spark, "texts")
+    texts = I.table(spark, sf, "documents").select("lang", "text")
+    texts.write.partitionBy("lang").option("maxRecordsPerFile", 1000).text(folder)
+    return folder
+
+
+def _folder_lang():
+    return F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang")
+
+
 @query
 def scan_listing(spark, sf):
-    files = listing.list_files(spark, sf, "*.parquet", prefix="./dataset/", recursive=True)
-    return files.select("path", "length")
+    files = listing.list_files(spark, _text_files(spark, sf), "*.txt", recursive=True)
+    return files.groupBy(_folder_lang()).agg(F.sum("length").alias("bytes"))
 
 
 @query
 def scan_bytes(spark, sf):
-    files = listing.read_bytes(spark, sf, "*.parquet", prefix="./dataset/", recursive=True)
-    return files.select("path", "length", F.crc32("content").alias("crc32"),
-                        F.length("content").cast("bigint").alias("bytes"))
+    files = listing.read_bytes(spark, _text_files(spark, sf), "*.txt", recursive=True)
+    lines = F.size(F.split(F.decode("content", "utf-8"), "\n")) - 1
+    return files.groupBy(_folder_lang()).agg(
+        F.sum(F.length("content")).cast("bigint").alias("bytes"),
+        F.sum(lines).cast("bigint").alias("lines"))
 
 
 @query

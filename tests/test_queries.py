@@ -1,17 +1,16 @@
-"""Each registered query against its SQL, and checks for those without SQL."""
+"""Each registered query against its SQL."""
 
 import glob
 import os
-import zlib
 
 import pytest
 
 import __spark_entry__ as contract
 from compare import compare, duck
 from conftest import SF_CHECK, SF_TINY
+from quizlens.sources.listing import list_files, read_bytes
 
 QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
-FILE_QUERIES = {"scan_listing", "scan_bytes"}
 
 
 @pytest.fixture(scope="module")
@@ -19,9 +18,8 @@ def connection():
     return duck(SF_CHECK)
 
 
-def test_only_file_queries_lack_sql():
-    assert set(QUERIES) - set(ORACLES) == FILE_QUERIES
-    assert set(ORACLES) <= set(QUERIES)
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -36,7 +34,7 @@ def test_entry_has_the_rows_of_its_sql(spark):
 def test_listing_and_bytes_agree_with_the_files(spark):
     files = {f"./dataset/{os.path.basename(p)}": open(p, "rb").read()
              for p in glob.glob(f"{SF_TINY}/*.parquet")}
-    listed = {r.path: r.length for r in QUERIES["scan_listing"](spark, SF_TINY).collect()}
-    assert listed == {path: len(content) for path, content in files.items()}
-    read = {r.path: (r.length, r.bytes, r.crc32) for r in QUERIES["scan_bytes"](spark, SF_TINY).collect()}
-    assert read == {p: (len(c), len(c), zlib.crc32(c)) for p, c in files.items()}
+    listed = list_files(spark, SF_TINY, "*.parquet", prefix="./dataset/").collect()
+    assert {r.path: r.length for r in listed} == {p: len(content) for p, content in files.items()}
+    read = read_bytes(spark, SF_TINY, "*.parquet", prefix="./dataset/").collect()
+    assert {r.path: bytes(r.content) for r in read} == files
