@@ -6,24 +6,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from quizlens.session import stored
+
 MAX_BROADCAST_ROWS = 10_000
 MAX_BROADCAST_BYTES = 8 << 20
 
 
 def small_side(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
-               max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """``dim`` ready to broadcast if it is small, otherwise ``dim`` unchanged.
+               max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame | None:
+    """``dim`` ready to broadcast if it is small, otherwise nothing.
 
     At most ``max_rows + 1`` rows are read to decide. A small table is kept as
-    a local relation, so that it is not computed a second time. A larger one is
-    joined by shuffle, where adaptive execution splits a hot key. A table that
-    is known to be large need not be tried: give ``max_rows=0``.
+    a local relation, so that it is not computed a second time. A table that is
+    known to be large need not be tried: give ``max_rows=0``.
     """
     if max_rows <= 0:
-        return dim
+        return None
     head = dim.limit(max_rows + 1).toArrow()
     if head.num_rows > max_rows or head.nbytes > max_bytes:
-        return dim
+        return None
     return F.broadcast(dim.sparkSession.createDataFrame(head, schema=dim.schema))
 
 
@@ -34,6 +35,10 @@ def lookup(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
 
     Strict: a key with no row or several rows raises when the value is read.
     Otherwise a missing key gives null and one of several rows is taken.
+
+    A small table is broadcast. A larger one is stored and joined by shuffle:
+    adaptive execution splits a hot key when both sides of the join are plain
+    shuffles, which an aggregation right below the join would prevent.
     """
     key, rows = "_lookup_key", "_lookup_rows"
     one_each = (
@@ -42,7 +47,10 @@ def lookup(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
              F.min(F.struct(*[F.col(v) for v in values])).alias("_lookup"))
         .where(F.col(key).isNotNull())
     )
-    joined = facts.join(small_side(one_each, max_rows), F.col(fact_key) == F.col(key), "left")
+    side = small_side(one_each, max_rows)
+    if side is None:
+        side = stored(one_each, "lookup")
+    joined = facts.join(side, F.col(fact_key) == F.col(key), "left")
     added = {v: F.col("_lookup")[v] for v in values}
     if strict:
         problem = F.concat(F.lit(f"expected one row for {dim_key} "),

@@ -168,10 +168,38 @@ def test_lookup_is_the_same_by_broadcast_and_by_shuffle(spark, max_rows):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_large_lookup_splits_a_hot_key(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+        "spark.sql.shuffle.partitions": "64",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    facts = spark.range(0, 300_000, 1, 8).withColumn(
+        "k", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 20_000)
+    ).withColumn("answer", F.sha1(F.col("id").cast("string")))
+    dim = spark.range(20_000).select(F.col("id").alias("key"), F.concat(F.lit("v"), "id").alias("v"))
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        found = lookups.lookup(facts, dim, "k", "key", ["v"])
+        right = found.where("v = concat('v', k)")
+        assert right.count() == 300_000
+        checked = right.groupBy("v").agg(F.sum(F.hash("answer")))  # the rows differ, as real ones do
+        assert len(checked.collect()) == 20_000
+        assert "SortMergeJoin(skew=true)" in checked._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value) if value else spark.conf.unset(name)
+
+
 def test_small_side_checks_bytes_as_well(spark):
     wide = spark.range(4).withColumn("t", F.repeat(F.lit("x"), 1000))
-    assert lookups.small_side(wide, max_bytes=500) is wide
-    assert lookups.small_side(wide) is not wide
+    assert lookups.small_side(wide, max_bytes=500) is None
+    assert lookups.small_side(wide, max_rows=3) is None
+    assert lookups.small_side(wide).count() == 4
 
 
 def test_lookup_demands_exactly_one_row(spark):
