@@ -117,6 +117,11 @@ _SCORES = """avg(case when subject_1 = 'OK' then 1 else 0 end) as subject_accura
 _NAMES = f"names as (select * from {_values((n, i) for i, n in enumerate(NAMES))} as t(algorithm, display_order))"
 
 
+_MISSED = "".join(
+    f", {lang} as (select * from graded where lang = '{lang}' and subject_1 is distinct from 'OK')"
+    for lang in LANGS)
+
+
 def _difference(before: str, after: str, source: str = "graded") -> str:
     columns = ", ".join(
         f"cast(coalesce(count(*) filter (where {after} = '{o}'), 0)"
@@ -126,6 +131,46 @@ def _difference(before: str, after: str, source: str = "graded") -> str:
             f" left join {source} g on n.algorithm = g.algorithm group by n.algorithm, n.display_order")
 
 
+def _combo(outcome: str) -> str:
+    return f"""select picture, concat({outcome}, case lang when 'eng' then ' (EN)' else ' (IT)' end)
+        as {outcome}, count(*) as count, case lang when 'eng' then 0 else 1 end as lang_order,
+        case concat(graded.{outcome}, lang) when 'OKita' then 0 when 'OKeng' then 1 when 'NOita' then 2
+          when 'NOeng' then 3 when 'ERRita' then 4 when 'ERReng' then 5
+          when 'PARita' then 6 when 'PAReng' then 7 end as display_order
+      from graded where {outcome} is not null group by picture, lang, graded.{outcome}"""
+
+
+def _long(table: str, select: str, labels: list[str], numbers: list[str]) -> str:
+    key = " || ' | ' || ".join(labels)
+    values = ", ".join(f'"{n}"::double as "{n}"' for n in numbers)
+    names = ", ".join(f'"{n}"' for n in numbers)
+    return (f"select * from (unpivot (select '{table}' as \"table\", {key} as key, {values}"
+            f" from ({select})) on {names} into name measure value value)")
+
+
+def _report() -> str:
+    shares = ["subject_accuracy", "city_accuracy", "subject_accuracy_2q"]
+    changes = ["OK", "NO", "ERR", "display_order"]
+    parts = []
+    for lang in LANGS:
+        rows = f"(select * from graded where lang = '{lang}')"
+        parts.append(_long(f"accuracy_{lang}", "select algorithm, dataset, " + _SCORES
+                           + f" from {rows} group by all", ["algorithm", "dataset"], shares))
+        for name, outcome in (("subject1", "subject_1"), ("city1", "city_1")):
+            counts = (f"select picture, {outcome}, count(*) as count from {rows}"
+                      f" where {outcome} is not null group by all")
+            parts.append(_long(f"picture_{name}_{lang}", counts, ["picture", outcome], ["count"]))
+        parts.append(_long(f"{lang}_subject_diff", _difference("subject_1", "subject_2", lang),
+                           ["algorithm"], changes))
+    for name, outcome in (("subject1", "subject_1"), ("city1", "city_1")):
+        parts.append(_long(f"picture_{name}_combo", _combo(outcome), ["picture", outcome],
+                           ["count", "lang_order", "display_order"]))
+    parts.append(_long("ita_eng_diff", _difference(
+        "case when lang = 'ita' then subject_1 end", "case when lang = 'eng' then subject_1 end"),
+        ["algorithm"], changes))
+    return f"with {GRADED}, {_NAMES}{_MISSED} " + " union all ".join(parts)
+
+
 def _picture_counts(outcome: str) -> str:
     return (f"with {GRADED} select lang, picture, {outcome}, count(*) as count from graded"
             f" where {outcome} is not null group by all")
@@ -219,37 +264,16 @@ ORACLES = {
         f"with {GRADED} select algorithm, dataset, {_SCORES} from graded group by all",
     "picture_outcomes_subject": _picture_counts("subject_1"),
     "picture_outcomes_city": _picture_counts("city_1"),
-    "picture_outcomes_combo":
-        f"""with {GRADED} select picture,
-          concat(city_1, case lang when 'eng' then ' (EN)' else ' (IT)' end) as city_1,
-          count(*) as count, case lang when 'eng' then 0 else 1 end as lang_order,
-          case concat(graded.city_1, lang) when 'OKita' then 0 when 'OKeng' then 1 when 'NOita' then 2
-            when 'NOeng' then 3 when 'ERRita' then 4 when 'ERReng' then 5
-            when 'PARita' then 6 when 'PAReng' then 7 end as display_order
-        from graded where city_1 is not null group by picture, lang, graded.city_1""",
+    "picture_outcomes_combo": f"with {GRADED} {_combo('city_1')}",
     "outcome_counts":
         f"""with {GRADED} select algorithm, subject_2, count(*) as count
         from graded where subject_2 is not null group by all""",
     "diff_language": f"with {GRADED}, {_NAMES} " + _difference(
         "case when lang = 'ita' then subject_1 end", "case when lang = 'eng' then subject_1 end"),
-    "diff_followup": f"with {GRADED}, {_NAMES}" + "".join(
-        f", {lang} as (select * from graded where lang = '{lang}' and subject_1 is distinct from 'OK')"
-        for lang in LANGS) + " " + " union all ".join(
+    "diff_followup": f"with {GRADED}, {_NAMES}{_MISSED} " + " union all ".join(
         f"select *, '{lang}' as lang from ({_difference('subject_1', 'subject_2', lang)})"
         for lang in LANGS),
-    "report_tables":
-        f"""with {GRADED}, {_NAMES}, ita as (
-          select * from graded where lang = 'ita' and subject_1 is distinct from 'OK')
-        select 'accuracy_eng' as "table", concat(algorithm) as key,
-          avg(case when subject_1 = 'OK' or coalesce(subject_2, '') = 'OK' then 1 else 0 end) as value
-        from graded where lang = 'eng' group by algorithm, dataset
-        union all select 'ita_eng_diff', algorithm, "NO"::double from ({_difference(
-            "case when lang = 'ita' then subject_1 end", "case when lang = 'eng' then subject_1 end")})
-        union all select 'ita_subject_diff', algorithm, "ERR"::double from ({_difference(
-            'subject_1', 'subject_2', 'ita')})
-        union all select 'picture_city1_combo',
-          concat(picture, ' ', city_1, case lang when 'eng' then ' (EN)' else ' (IT)' end),
-          count(*)::double from graded group by picture, lang, city_1""",
+    "report_tables": _report(),
     "flag_ok":
         f"""with {DOCGRADED} select doc_id, subject_1, city_1,
           coalesce(subject_1 = 'OK', false) as subject_ok,

@@ -72,21 +72,17 @@ def diff_followup(spark, sf):
 
 @query
 def report_tables(spark, sf):
-    """Four tables of the full report, all from its one stored cube."""
+    """All tables of the full report in long form, all from its one stored cube."""
     enriched = grading.add_flags(I.graded(spark, sf, picture=True))
-    report = analyse.report(enriched, names=I.NAMES)
-    long = [
-        report[name].select(
-            F.lit(name).alias("table"), F.col("algorithm").alias("key"),
-            F.col(column).cast("double").alias("value"))
-        for name, column in (
-            ("accuracy_eng", "subject_accuracy_2q"), ("ita_eng_diff", "NO"), ("ita_subject_diff", "ERR"))
-    ]
-    combo = report["picture_city1_combo"].select(
-        F.lit("picture_city1_combo").alias("table"),
-        F.concat("picture", F.lit(" "), "city_1").alias("key"),
-        F.col("count").cast("double").alias("value"))
-    return gr.combine([*long, combo])
+    long = []
+    for name, table in analyse.report(enriched, names=I.NAMES).items():
+        labels = [column for column, kind in table.dtypes if kind == "string"]
+        numbers = [column for column in table.columns if column not in labels]
+        long.append(table.select(
+            F.lit(name).alias("table"), F.concat_ws(" | ", *labels).alias("key"),
+            *[F.col(n).cast("double").alias(n) for n in numbers],
+        ).unpivot(["table", "key"], numbers, "measure", "value"))
+    return gr.combine(long)
 
 
 # --- outcome predicates and labels ---------------------------------------------

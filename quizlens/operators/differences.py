@@ -29,10 +29,10 @@ def outcome_difference(data: DataFrame, before: Column, after: Column,
     """
     keys = ["algorithm"] if langs is None else ["algorithm", "lang"]
     weight_col = F.lit(1) if weight is None else F.col(weight)
-    wanted = data.where(F.col("algorithm").isin(*names))
+    wanted = F.col("algorithm").isin(*names)
     if langs is not None:
-        wanted = wanted.where(F.col("lang").isin(*langs))
-    rows = wanted.select(
+        wanted = wanted & F.col("lang").isin(*langs)
+    rows = data.where(wanted).select(
         *keys, before.alias("before"), after.alias("after"),
         weight_col.cast("bigint").alias("weight"),
     )

@@ -9,6 +9,7 @@ shuffle and a hot algorithm or picture costs no more than any other. With
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -81,6 +82,5 @@ def outcome_counts_by_language(data: DataFrame, outcome: str, by: Sequence[str]
 
 
 def _keys_present(data: DataFrame, keys: Sequence[str]) -> DataFrame:
-    for key in keys:
-        data = data.where(F.col(key).isNotNull())
-    return data
+    present = [F.col(key).isNotNull() for key in keys]
+    return data.where(reduce(lambda a, b: a & b, present))
