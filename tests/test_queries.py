@@ -10,7 +10,7 @@ from compare import compare, duck
 from conftest import SF_CHECK, SF_TINY
 from quizlens.sources.listing import list_files, read_bytes
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = contract.QUERIES, contract.ORACLES
 
 
 @pytest.fixture(scope="module")
