@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import quizlens
+from quizlens.llm.pipeline_stages import STAGES
 from quizlens.session import new_path
 
-STAGES: list = []
+# Tasks get the package's functions with them; workers need not have it installed.
+cloudpickle.register_pickle_by_value(quizlens)
+
+#: Chosen paths and a trained classifier have no SQL; tests hold each stage
+#: against a plain version instead.
 ORACLE_SQL = None
 
 

@@ -17,6 +17,9 @@ PIECE_BYTES = 1 << 20
 ANCHOR_BITS = np.uint64(28)  # a piece holds fewer than 2**28 positions
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything but ASCII letters, digits and bytes of other characters.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 
@@ -98,10 +101,11 @@ def byte_codes(data: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of the texts of a piece."""
+    """The words ``[^\\x20\\x09-\\x0D]+`` of the texts of a piece, or other runs of bytes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
-        inside = ~_SPACE[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False,
+                 separators: np.ndarray = _SPACE):
+        inside = ~separators[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
         first, last = inside.copy(), inside.copy()
@@ -188,3 +192,24 @@ class Runs:
         """Hash of all that the windows of a run cover, and of the anchor's place in it."""
         whole = self.sums.of(self.first, self.first + self.count + self.length - 1)
         return mix(whole + (self.anchor - self.first).astype(np.uint64))
+
+
+class CodeSet:
+    """A sorted set of codes that is quick to say no."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = np.unique(codes.astype(np.uint64))
+        bits = min(26, max(12, int(len(self.codes)).bit_length() + 5))
+        self.shift = np.uint64(64 - bits)
+        self.seen = np.zeros(1 << bits, bool)
+        self.seen[self.codes >> self.shift] = True
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of codes that are in the set, and their index in it."""
+        maybe = np.flatnonzero(self.seen[codes >> self.shift])
+        if not len(maybe):
+            return maybe, maybe
+        at = np.searchsorted(self.codes, codes[maybe])
+        at[at == len(self.codes)] = 0
+        hit = self.codes[at] == codes[maybe]
+        return maybe[hit], at[hit]
