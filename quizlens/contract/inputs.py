@@ -77,7 +77,7 @@ def graded_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumns({**labels, "id": number})
     description = F.when(F.col("l_tax") > 0.04, "OK").when(F.col("l_tax") > 0.02, "NO").otherwise("ERR")
     answer = F.concat(F.lit(' It is "'), "l_returnflag", F.lit('" | '),
-                      _text(F.col("l_orderkey")), F.lit(" \\ "))
+                      _text(F.col("l_orderkey")), F.lit(" \\ \n\tend\n"))
     return rows.select(
         "id",
         F.concat(F.lit("Supplier "), _text(F.col("l_suppkey") % 10), F.lit("_"), "lang").alias("model"),

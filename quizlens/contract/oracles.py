@@ -27,6 +27,10 @@ select concat('Supplier ', cast(l_suppkey % 10 as string)) as algorithm,
        when l_quantity > 25 then 'NO' else 'ERR' end as subject_2
 from lineitem join part on l_partkey = p_partkey)"""
 
+# One row per line item, without the picture's name.
+LABELLED = GRADED.replace("  concat(p_brand, ' / ', p_type) as picture,\n", "").replace(
+    " join part on l_partkey = p_partkey", "")
+
 DOCGRADED = """docgraded as (
 select d.source as algorithm, d.lang as dataset, d.doc_id,
   case when l.quality = 1 then 'OK' when l.quality = 0 and l.toxic = 1 then 'ERR'
@@ -47,7 +51,7 @@ select p_partkey as image_id, cast(200 + (p_partkey * 37) % 1800 as int) as widt
     case when p_partkey % 10 = 0 then '.JPEG' when p_partkey % 10 = 1 then '.txt' else '.jpg' end) as path
 from part)"""
 
-FILES = GRADED.replace("graded as (", "labels_of as (", 1).replace(
+FILES = LABELLED.replace("graded as (", "labels_of as (", 1).replace(
     "select concat", "select l_partkey, l_orderkey, l_linenumber, l_linestatus, l_returnflag, l_tax, "
     "concat", 1) + """, graded_file as (
 select cast(l_partkey % 25 + 1 as int) as id,
@@ -57,7 +61,7 @@ select cast(l_partkey % 25 + 1 as int) as id,
   concat('City ', (l_partkey % 25 + 1) % 7) as city,
   concat('Subject ', l_partkey % 25 + 1,
     case when l_partkey % 25 + 1 = 17 then '/Portici' else '' end) as subject,
-  concat(' It is "', l_returnflag, '" | ', l_orderkey, ' \\ ') as answer_1,
+  concat(' It is "', l_returnflag, '" | ', l_orderkey, ' \\ ', chr(10), chr(9), 'end', chr(10)) as answer_1,
   case l_linenumber when 1 then '0' when 2 then '1' when 3 then '0,5' when 4 then '*0,5' end as score_1,
   city_1, subject_1,
   case when l_tax > 0.04 then 'OK' when l_tax > 0.02 then 'NO' else 'ERR' end as description_1,
@@ -99,10 +103,10 @@ select image_id, path, lang, question_no, replace(template, 'CITY', city) as que
 from pictures cross join prompts)"""
 
 _POLICY_ROWS = _values(
-    (i, p.model, p.history, p.image_in_turn_2, p.blank_turn, p.raw_history)
+    (i, p.model, p.history, p.image_in_turn_2, p.image_first, p.blank_turn, p.raw_history)
     for i, p in enumerate(POLICIES))
 MODEL_REQUESTS = REQUESTS + f""", policies as (
-select * from {_POLICY_ROWS} as t(no, model, history, image_in_turn_2, blank_turn, raw_history)),
+select * from {_POLICY_ROWS} as t(no, model, history, image_in_turn_2, image_first, blank_turn, raw_history)),
 asked as (
 select a.image_id, a.path, a.lang, a.subject, a.question as q1, b.question as q2, policies.* exclude (no)
 from requests a join requests b on a.image_id = b.image_id and a.lang = b.lang
@@ -212,6 +216,8 @@ _ANSWER_2 = """case model
     when 'cogvlm2' then regexp_replace(string_split(raw_2, '<|end_of_text|>')[1], '{w}+', ' ', 'g')
     when 'pixtral' then regexp_replace(
       replace(replace(replace(raw_2, q1, ''), q2, ''), chr(10), ''), '{w}+', ' ', 'g')
+    when 'llava1.6' then substr(
+      regexp_replace(raw_2, '{w}+', ' ', 'g'), 1 + length(answer_1) % 5)
     else regexp_replace(raw_2, '{w}+', ' ', 'g') end""".replace("{w}", _W)
 _ANSWER_1 = """case model
     when 'phi3' then raw_1
@@ -233,15 +239,18 @@ select *, concat(q2,
 from first)"""
 
 TURN_1 = f"""{MODEL_REQUESTS}
-select image_id, model, lang, 0 as turn_no, 'user' as role, 0 as part_no, 'text' as type,
-  q1 as text, cast(null as varchar) as image from asked
-union all select image_id, model, lang, 0, 'user', 1, 'image', null, path from asked
+select image_id, model, lang, 0 as turn_no, 'user' as role, image_first::int as part_no,
+  'text' as type, q1 as text, cast(null as varchar) as image from asked
+union all select image_id, model, lang, 0, 'user', 1 - image_first::int, 'image', null, path
+  from asked
 union all select image_id, model, lang, 1, 'assistant', 0, 'text', '', null from asked where blank_turn"""
 
 TURN_2 = f"""{MODEL_REQUESTS}, a as (select *, blank_turn::int as b from asked)
-select image_id, model, lang, 0 as turn_no, 'user' as role, 0 as part_no, 'text' as type,
+select image_id, model, lang, 0 as turn_no, 'user' as role,
+  (image_first and image_in_turn_2)::int as part_no, 'text' as type,
   case when history then q1 else q2 end as text, cast(null as varchar) as image from a
-union all select image_id, model, lang, 0, 'user', 1, 'image', null, path from a where image_in_turn_2
+union all select image_id, model, lang, 0, 'user', 1 - image_first::int, 'image', null, path
+  from a where image_in_turn_2
 union all select image_id, model, lang, 1, 'assistant', 0, 'text', '', null from a where blank_turn
 union all select image_id, model, lang, 1 + b, 'assistant', 0, 'text', concat('It is ', subject), null
   from a where history
@@ -261,16 +270,16 @@ _SEVEN = "id, path, dataset, city, subject, answer_1"
 
 ORACLES = {
     "accuracy_by_dataset":
-        f"with {GRADED} select algorithm, dataset, {_SCORES} from graded group by all",
+        f"with {LABELLED} select algorithm, dataset, {_SCORES} from graded group by all",
     "picture_outcomes_subject": _picture_counts("subject_1"),
     "picture_outcomes_city": _picture_counts("city_1"),
     "picture_outcomes_combo": f"with {GRADED} {_combo('city_1')}",
     "outcome_counts":
-        f"""with {GRADED} select algorithm, subject_2, count(*) as count
+        f"""with {LABELLED} select algorithm, subject_2, count(*) as count
         from graded where subject_2 is not null group by all""",
-    "diff_language": f"with {GRADED}, {_NAMES} " + _difference(
+    "diff_language": f"with {LABELLED}, {_NAMES} " + _difference(
         "case when lang = 'ita' then subject_1 end", "case when lang = 'eng' then subject_1 end"),
-    "diff_followup": f"with {GRADED}, {_NAMES}{_MISSED} " + " union all ".join(
+    "diff_followup": f"with {LABELLED}, {_NAMES}{_MISSED} " + " union all ".join(
         f"select *, '{lang}' as lang from ({_difference('subject_1', 'subject_2', lang)})"
         for lang in LANGS),
     "report_tables": _report(),
@@ -279,7 +288,7 @@ ORACLES = {
           coalesce(subject_1 = 'OK', false) as subject_ok,
           coalesce(city_1 = 'OK', false) as city_ok from docgraded""",
     "flag_ok_2q":
-        f"""with {GRADED} select algorithm, dataset, lang, subject_1, subject_2,
+        f"""with {LABELLED} select algorithm, dataset, lang, subject_1, subject_2,
           coalesce(subject_1 = 'OK', false) or (subject_1 is distinct from 'OK'
             and coalesce(subject_2 = 'OK', false)) as subject_ok_2q from graded""",
     "filter_not_ok":
@@ -297,7 +306,7 @@ ORACLES = {
           case when city <> 'City 3' then city || ' / ' || replace(subject, '/Portici', '') end as picture
         from graded_file""",
     "audit_domains":
-        f"with {GRADED} " + " union all ".join(
+        f"with {LABELLED} " + " union all ".join(
             f"select lang, '{c}' as \"column\", {c} as value, count(*) as rows from graded"
             f" group by lang, {c}" for c in ("city_1", "subject_1", "subject_2")),
     "audit_nulls":
@@ -374,8 +383,8 @@ ORACLES = {
         select position, position // 5 as grid_row, position % 5 as grid_col, source, file, label
         from placed where position < 40""",
     "combined_sorted":
-        f"""with {FILES} select path, model, lang, answer_1, subject_1 from graded_file
-        order by path, model""",
+        f"""with {FILES} select path, model, lang, answer_1, subject_1,
+          row_number() over (order by path, model, answer_1) - 1 as place from graded_file""",
     "indexed_table":
         f"""with {GRADED}, counts as (select picture, subject_1, count(*) as count from graded
           group by all)
@@ -399,14 +408,24 @@ ORACLES = {
           case when lang = 'ita' then note end as note from graded_file""",
     "roundtrip_combined": f"with {FILES} select * exclude (lang) from graded_file",
     "roundtrip_answers":
-        f"""with {ANSWERS}, lines as (select {_SEVEN}, coalesce(answer_2, '') as answer_2 from answers)
+        f"""with {ANSWERS}, policies as (
+          select * from {_POLICY_ROWS} as t(no, model, a, b, c, d, e)), given as (
+          select * replace (concat(answer_1, case when image_id % 11 = 0 then '|'
+              when image_id % 13 = 0 then chr(10) else '' end) as answer_1,
+            case when image_id % 11 = 0 or image_id % 13 = 0 then answer_2
+              else coalesce(answer_2, '') end as answer_2)
+          from answers), lines as (
+          select {_SEVEN}, answer_2, model, case when image_id % 2 = 0 then 'ita' else 'eng' end as lang,
+            case when image_id % 11 = 0 then 'separator' when image_id % 13 = 0 then 'newline' end
+              as reason
+          from given join policies on no = image_id % {len(POLICIES)})
         select * from lines union all select * from lines""",
     "append_answers":
-        f"""with {ANSWERS}, policies as (select * from {_POLICY_ROWS} as t(no, model, a, b, c, d)),
+        f"""with {ANSWERS}, policies as (select * from {_POLICY_ROWS} as t(no, model, a, b, c, d, e)),
         stored as (select model, 'ita' as lang, image_id, path, answer_1, answer_2
           from answers join policies on no = image_id % {len(POLICIES)})
         select * from stored union all select * from stored""",
     "roundtrip_table":
-        f"""with {GRADED}, t as (select algorithm, dataset, {_SCORES} from graded group by all)
+        f"""with {LABELLED}, t as (select algorithm, dataset, {_SCORES} from graded group by all)
         select *, row_number() over (order by algorithm, dataset) - 1 as index from t""",
 }

@@ -16,7 +16,9 @@ STEPS = {
     "echo_1": lambda text, cols: T.remove_echo(text, cols["question_1"]),
     "echo_2": lambda text, cols: T.remove_echo(text, cols["question_2"]),
     "echo_1_wrapped": lambda text, cols: T.remove_wrapped_echo(text, cols["question_1"]),
-    "prefix": lambda text, cols: T.drop_prefix(text, cols["rendered_length"]),
+    "prefix": lambda text, cols: T.drop_prefix(text, F.coalesce(
+        cols["rendered_length"],
+        F.raise_error("the responder gave no length of the request").cast("int"))),
 }
 
 

@@ -28,6 +28,11 @@ def image_id(path: Column, strict: bool = True) -> Column:
         F.lit("no picture id in path: "), F.coalesce(path, F.lit("null")))).cast("int"))
 
 
+def image_id_text(path: Column) -> Column:
+    """The first ``_`` part with every ``i`` removed, as it stands: ``01`` stays ``01``."""
+    return F.replace(F.substring_index(base_name(path), "_", 1), F.lit("i"), F.lit(""))
+
+
 def source_class(path: Column, strict: bool = True) -> Column:
     """``wiki`` when the name contains it, else the second ``_`` part up to a dot.
 

@@ -1,4 +1,4 @@
-"""Joins to a small table, with a checked size and a checked key."""
+"""Joins to a table of single rows per key, with a checked key."""
 
 from __future__ import annotations
 
@@ -8,37 +8,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from quizlens.session import stored
 
-MAX_BROADCAST_ROWS = 10_000
-MAX_BROADCAST_BYTES = 8 << 20
-
-
-def small_side(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
-               max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame | None:
-    """``dim`` ready to broadcast if it is small, otherwise nothing.
-
-    At most ``max_rows + 1`` rows are read to decide. A small table is kept as
-    a local relation, so that it is not computed a second time. A table that is
-    known to be large need not be tried: give ``max_rows=0``.
-    """
-    if max_rows <= 0:
-        return None
-    head = dim.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows or head.nbytes > max_bytes:
-        return None
-    return F.broadcast(dim.sparkSession.createDataFrame(head, schema=dim.schema))
-
-
 def lookup(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
-           values: Sequence[str], strict: bool = True,
-           max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+           values: Sequence[str], strict: bool = True) -> DataFrame:
     """Add ``values`` of the one ``dim`` row whose key equals the fact's key.
 
     Strict: a key with no row or several rows raises when the value is read.
     Otherwise a missing key gives null and one of several rows is taken.
 
-    A small table is broadcast. A larger one is stored and joined by shuffle:
-    adaptive execution splits a hot key when both sides of the join are plain
-    shuffles, which an aggregation right below the join would prevent.
+    ``dim`` is stored with one row per key. So Spark knows its size, broadcasts
+    it below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise;
+    then adaptive execution can split a hot key, as both sides are plain scans.
+    No rows of it pass the driver.
     """
     key, rows = "_lookup_key", "_lookup_rows"
     one_each = (
@@ -47,9 +27,7 @@ def lookup(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
              F.min(F.struct(*[F.col(v) for v in values])).alias("_lookup"))
         .where(F.col(key).isNotNull())
     )
-    side = small_side(one_each, max_rows)
-    if side is None:
-        side = stored(one_each, "lookup")
+    side = stored(one_each, "lookup")
     joined = facts.join(side, F.col(fact_key) == F.col(key), "left")
     added = {v: F.col("_lookup")[v] for v in values}
     if strict:

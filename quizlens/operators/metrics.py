@@ -8,20 +8,23 @@ shuffle and a hot algorithm or picture costs no more than any other. With
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quizlens.functions import outcomes as O
-from quizlens.values import OUTCOMES
+from quizlens.values import LANG_TAGS, OUTCOMES
 
 FLAGS = {
     "subject_accuracy": "subject_ok",
     "city_accuracy": "city_ok",
     "subject_accuracy_2q": "subject_ok_2q",
 }
-CUBE_KEYS = ("lang", "algorithm", "dataset", "picture", "subject_1", "city_1", "subject_2")
+#: All tables of a report need one or the other, none both: the first is as small as
+#: the number of models, the second grows with the pictures.
+MODEL_KEYS = ("lang", "algorithm", "dataset", "subject_1", "city_1", "subject_2")
+PICTURE_KEYS = ("lang", "picture", "subject_1", "city_1")
 
 
 def _rows(weight: str | None) -> Column:
@@ -35,11 +38,21 @@ def _share(flag: str, weight: str | None) -> Column:
     return F.sum(value * F.col(weight)).cast("double") / F.sum(weight)
 
 
-def outcome_cube(data: DataFrame, keys: Sequence[str] = CUBE_KEYS) -> DataFrame:
-    """Answers per combination of labels: all tables of a report follow from it."""
+def outcome_cube(data: DataFrame, keys: Sequence[str] = MODEL_KEYS) -> DataFrame:
+    """Answers per combination of labels: tables over these keys follow from it."""
     return data.groupBy(*keys).agg(F.count(F.lit(1)).alias("answers"))
 
 
+def outcome_cubes(data: DataFrame) -> DataFrame:
+    """Answers by ``MODEL_KEYS`` and by ``PICTURE_KEYS`` from one pass, told apart by
+    ``cube``: 'model' or 'picture'. Keys of the other one are null."""
+    keys = list(dict.fromkeys(MODEL_KEYS + PICTURE_KEYS))
+    sets = [[F.col(k) for k in MODEL_KEYS], [F.col(k) for k in PICTURE_KEYS]]
+    return data.groupingSets(sets, *keys).agg(
+        F.count(F.lit(1)).alias("answers"),
+        F.when(F.grouping("picture") == 0, "picture").otherwise("model").alias("cube"))
+
+
 def accuracy(data: DataFrame, by: Sequence[str] = ("algorithm", "dataset"),
              weight: str | None = None) -> DataFrame:
     """The share of right answers per group: subject, city, subject in two questions."""
@@ -61,23 +74,30 @@ def outcome_counts(data: DataFrame, by: Sequence[str], outcome: str,
 
 
 def outcome_counts_by_language(data: DataFrame, outcome: str, by: Sequence[str] = ("picture",),
-                               weight: str | None = None) -> DataFrame:
-    """Outcome counts of both languages in one table, ``OK (EN)`` beside ``OK (IT)``.
-
-    ``lang_order`` puts English first. ``display_order`` is the order of the bars:
-    by outcome, Italian before English; other outcomes than the usual come last.
+                               weight: str | None = None, tags: Mapping[str, str] = LANG_TAGS,
+                               strict: bool = True) -> DataFrame:
+    """Outcome counts of all languages in one table, ``OK (EN)`` beside ``OK (IT)``.
+
+    ``lang_order`` is the order of ``tags``: English first. ``display_order`` is
+    the order of the bars: by outcome, and within it the languages in reverse
+    order; other outcomes than the usual come last. A language without a tag
+    raises, or has a null outcome and comes last when not strict.
     """
-    counts = outcome_counts(data.where(F.col("lang").isin("eng", "ita")),
-                            ["lang", *by], outcome, weight)
-    english = F.col("lang") == "eng"
+    counts = outcome_counts(data, ["lang", *by], outcome, weight)
+    known = F.array_position(F.array(*[F.lit(lang) for lang in tags]), F.col("lang"))
+    order = F.when(known > 0, known - 1).otherwise(len(tags)).cast("int")
+    tagged = O.tag_language(F.col(outcome), F.col("lang"), tags)
+    if strict:
+        tagged = F.coalesce(tagged, F.raise_error(F.concat(
+            F.lit("no tag for language: "), "lang")).cast("string"))
     found = F.array_position(F.array(*[F.lit(o) for o in OUTCOMES]), F.col(outcome))
     place = F.when(found > 0, found - 1).otherwise(len(OUTCOMES))
     return counts.select(
         *by,
-        O.tag_language(F.col(outcome), F.col("lang")).alias(outcome),
+        tagged.alias(outcome),
         "count",
-        F.when(english, 0).otherwise(1).alias("lang_order"),
-        (place * 2 + F.when(english, 1).otherwise(0)).cast("int").alias("display_order"),
+        order.alias("lang_order"),
+        (place * len(tags) + F.abs(len(tags) - 1 - order)).cast("int").alias("display_order"),
     )
 
 

@@ -7,16 +7,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quizlens.functions.dialogue import first_dialogue, second_dialogue
-from quizlens.functions.paths import image_id, source_class
+from quizlens.functions.paths import image_id, image_id_text, source_class
 from quizlens.functions.text import strip_text
 from quizlens.operators.lookups import lookup
 from quizlens.values import CITY_SLOT, DEFAULT_LANG, POLICIES, PROMPTS, ModelPolicy
 
 
 def parse_listing(listing: DataFrame, strict: bool = True) -> DataFrame:
-    """Add ``id`` and ``dataset`` from the file name."""
+    """Add ``id``, its text as written and ``dataset`` from the file name."""
     path = F.col("path")
-    return listing.withColumns({"id": image_id(path, strict), "dataset": source_class(path, strict)})
+    return listing.withColumns({"id": image_id(path, strict), "id_text": image_id_text(path),
+                                "dataset": source_class(path, strict)})
 
 
 def add_subject(pictures: DataFrame, catalogue: DataFrame, strict: bool = True) -> DataFrame:
@@ -69,8 +70,8 @@ def add_policy(requests: DataFrame, policies: Sequence[ModelPolicy] = POLICIES)
 
     A model without an entry raises.
     """
-    settings = {"history": "boolean", "image_in_turn_2": "boolean", "blank_turn": "boolean",
-                "raw_history": "boolean", "max_new_tokens": "int", "decoding": "string"}
+    settings = {"history": "boolean", "image_in_turn_2": "boolean", "image_first": "boolean",
+                "blank_turn": "boolean", "raw_history": "boolean", "max_new_tokens": "int", "decoding": "string"}
     entries = []
     for policy in policies:
         entries.append(F.lit(policy.model))
@@ -86,14 +87,14 @@ def add_policy(requests: DataFrame, policies: Sequence[ModelPolicy] = POLICIES)
 def ask_first(requests: DataFrame, image: str = "path") -> DataFrame:
     """Add ``dialogue_1``: the request for the first answer."""
     return requests.withColumn("dialogue_1", first_dialogue(
-        F.col("question_1"), F.col(image), F.col("blank_turn")))
+        F.col("question_1"), F.col(image), F.col("blank_turn"), F.col("image_first")))
 
 
 def ask_second(requests: DataFrame, answer: str = "answer_1", image: str = "path") -> DataFrame:
     """Add ``dialogue_2``: the request for the second answer, by the model's settings."""
     return requests.withColumn("dialogue_2", second_dialogue(
         F.col("question_1"), F.col(answer), F.col("question_2"), F.col(image),
-        F.col("history"), F.col("image_in_turn_2"), F.col("blank_turn")))
+        F.col("history"), F.col("image_in_turn_2"), F.col("blank_turn"), F.col("image_first")))
 
 
 def flatten_dialogue(data: DataFrame, dialogue: str, keys: Sequence[str]) -> DataFrame:

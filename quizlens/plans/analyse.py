@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,35 +12,39 @@ from quizlens.operators.metrics import (
     accuracy,
     outcome_counts,
     outcome_counts_by_language,
-    outcome_cube,
+    outcome_cubes,
 )
 from quizlens.session import stored
 from quizlens.sources.tables import write_table
+from quizlens.values import LANG_TAGS
 
 WEIGHT = "answers"
 
 
 def report(enriched: DataFrame, names: Sequence[str] = ALL_NAMES, strict: bool = False,
-           store: bool = True) -> dict[str, DataFrame]:
-    """All result tables by name.
+           store: bool = True, tags: Mapping[str, str] = LANG_TAGS) -> dict[str, DataFrame]:
+    """All result tables by name, for the languages of ``tags``.
 
-    The answers are counted once per combination of labels. That cube is stored
-    and all tables are sums over it, so the answers are read once and not once
-    per table.
+    One pass counts the answers per model and labels, and per picture and labels.
+    Both are stored, in a folder each, and all tables are sums over one of them.
+    A language that has no tag raises as a combined table is read.
     """
-    cube = outcome_cube(enriched)
-    cube = add_flags(stored(cube, "cube") if store else cube)
+    cubes = outcome_cubes(enriched)
+    cubes = stored(cubes, "cubes", folder_by=["cube"]) if store else cubes
+    by_model = add_flags(cubes.where("cube = 'model'"))
+    by_picture = cubes.where("cube = 'picture'")
     tables = {}
-    for lang in ("eng", "ita"):
-        rows = cube.where(F.col("lang") == lang)
+    for lang in tags:
+        rows, pictures = (c.where(F.col("lang") == lang) for c in (by_model, by_picture))
         tables[f"accuracy_{lang}"] = accuracy(rows, weight=WEIGHT)
-        tables[f"picture_subject1_{lang}"] = outcome_counts(rows, ["picture"], "subject_1", WEIGHT)
-        tables[f"picture_city1_{lang}"] = outcome_counts(rows, ["picture"], "city_1", WEIGHT)
+        tables[f"picture_subject1_{lang}"] = outcome_counts(pictures, ["picture"], "subject_1", WEIGHT)
+        tables[f"picture_city1_{lang}"] = outcome_counts(pictures, ["picture"], "city_1", WEIGHT)
         tables[f"{lang}_subject_diff"] = followup_difference(
             rows, names=names, strict=strict, weight=WEIGHT)
     for name, outcome in (("subject1", "subject_1"), ("city1", "city_1")):
-        tables[f"picture_{name}_combo"] = outcome_counts_by_language(cube, outcome, weight=WEIGHT)
-    tables["ita_eng_diff"] = language_difference(cube, names=names, strict=strict, weight=WEIGHT)
+        tables[f"picture_{name}_combo"] = outcome_counts_by_language(
+            by_picture, outcome, weight=WEIGHT, tags=tags)
+    tables["ita_eng_diff"] = language_difference(by_model, names=names, strict=strict, weight=WEIGHT)
     return tables
 
 

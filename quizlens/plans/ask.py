@@ -15,35 +15,46 @@ from quizlens.sources.listing import list_files
 from quizlens.values import DEFAULT_LANG
 
 
-def ask(spark: SparkSession, picture_folder: str, catalogue_path: str, model: str,
+ROWS_PER_TASK = 2_000
+
+
+def ask(spark: SparkSession, pictures: str | DataFrame, catalogue_path: str, model: str,
         make_responder: Callable[[], Responder], langs: Sequence[str] = (DEFAULT_LANG,),
-        prefix: str | None = "./dataset/", store: bool = True) -> DataFrame:
-    """Put both questions about every picture to one model."""
-    pictures = add_subject(
-        parse_listing(list_files(spark, picture_folder, prefix=prefix)),
-        read_catalogue(spark, catalogue_path),
-    )
-    requests = add_policy(pair_requests(pictures, langs).withColumn("model", F.lit(model)))
-    return answer_two_questions(spread(requests), make_responder, store=store)
+        prefix: str | None = "./dataset/", store: bool = True,
+        rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Put both questions about every picture to one model.
 
+    ``pictures`` is a folder, or a table of ``path`` and ``uri``. The driver lists
+    a folder by itself, which suits some hundred thousand files; beyond that, give
+    a table.
+    """
+    if isinstance(pictures, str):
+        pictures = list_files(spark, pictures, prefix=prefix)
+    known = add_subject(parse_listing(pictures), read_catalogue(spark, catalogue_path))
+    requests = add_policy(pair_requests(known, langs).withColumn("model", F.lit(model)))
+    return answer_two_questions(spread(requests, rows_per_task), make_responder, store=store)
 
-def spread(requests: DataFrame, tasks_per_core: int = 1) -> DataFrame:
-    """Deal the requests out to all cores.
 
-    A file listing has few partitions, and a model call costs far more than a
-    shuffle of paths. More tasks per core lose less work with an executor.
+def spread(requests: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Deal the requests out to tasks of bounded size, and to all cores at least.
+
+    A listing has few partitions, and a model call costs far more than a shuffle
+    of paths. A lost executor loses no more than the tasks it was at.
     """
     cores = requests.sparkSession.sparkContext.defaultParallelism
-    return requests.repartition(cores * tasks_per_core)
+    return requests.repartition(max(cores, -(-requests.count() // rows_per_task)))
 
 
 def save(answers: DataFrame, folder: str, line_folder: str | None = None) -> None:
-    """Append the answers as Parquet and, if asked, in the line format too.
+    """Append the answers as Parquet and then, if asked, in the line format too.
 
     With both outputs the answers are stored first, so that both hold the same
-    answers and no model answers twice.
+    answers and no model answers twice. Answers that no line can hold go to
+    ``{line_folder}-unsafe`` with their reason.
     """
     if line_folder is not None:
         answers = stored(answers, "answers")
-        append_answer_lines(answers, line_folder)
     append_answers(answers, folder)
+    if line_folder is not None:
+        written = answers.withColumn("id", F.col("id_text"))
+        append_answer_lines(written, line_folder, side=f"{line_folder.rstrip('/')}-unsafe")

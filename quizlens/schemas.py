@@ -18,7 +18,7 @@ ANSWERS = T.StructType(
     _strings("id", "path", "dataset", "city", "subject", "answer_1", "answer_2")
 )
 
-# Column names in the graded files, in file order, and ours.
+# --- Fixed values: column names in the graded files, in file order, and ours --
 GRADED_HEADER = {
     "ID": "id",
     "Algoritmo": "model",
@@ -40,7 +40,6 @@ GRADED_HEADER = {
 GRADED = T.StructType(
     [T.StructField("id", T.IntegerType())] + _strings(*list(GRADED_HEADER.values())[1:])
 )
-COMBINED = T.StructType([T.StructField("row_label", T.LongType())] + GRADED.fields)
 
 AUDITED = ("city_1", "subject_1", "description_1", "subject_2", "description_2")
 

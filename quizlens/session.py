@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,18 +49,39 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_RUN_FOLDERS: list[str] = []
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder for all intermediate tables made inside the block, removed at its end.
+
+    Results must be written before the end: what is read later is gone.
+    """
+    folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    _RUN_FOLDERS.append(folder)
+    try:
+        yield folder
+    finally:
+        _RUN_FOLDERS.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path that no other call gets, under the open run folder or the shared folder."""
+    folder = _RUN_FOLDERS[-1] if _RUN_FOLDERS else shared_dir(spark)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, folder_by: Sequence[str] = ()) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
     What follows starts from the files: it survives lost executors without
     computing the rows again, sees the same rows each time, and reads only the
-    columns it needs.
+    columns it needs. ``folder_by`` deals the rows to a folder per value, and a
+    reader of one value opens no other.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*folder_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

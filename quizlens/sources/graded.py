@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
 from quizlens import schemas
 from quizlens.values import LANG_TAGS
@@ -22,18 +22,34 @@ def header_columns() -> list[Column]:
     return [F.col(name).alias(header) for header, name in schemas.GRADED_HEADER.items()]
 
 
-def read_graded(spark: SparkSession, folder: str, langs: Sequence[str] = LANGS) -> DataFrame:
+def delimited(spark: SparkSession, schema: T.StructType, sep: str, strict: bool,
+              multi_line: bool) -> DataFrameReader:
+    """A reader of quoted files with a checked header.
+
+    Strict raises on a row with too few or too many fields, whichever columns are
+    asked for, and on an id that is no number where ids are read; otherwise
+    surplus fields go and bad numbers are null. ``multi_line`` keeps line breaks inside quotes; a file
+    is then one task, and writers make many files. Without it large files are
+    split, and a quoted line break is an error when strict.
+    """
+    return (
+        spark.read.schema(schema)
+        .option("sep", sep).option("header", True).option("enforceSchema", False)
+        .option("quote", '"').option("escape", '"')
+        .option("mode", "FAILFAST" if strict else "PERMISSIVE")
+        .option("columnPruning", False).option("multiLine", multi_line)
+    )
+
+
+def read_graded(spark: SparkSession, folder: str, langs: Sequence[str] = LANGS,
+                strict: bool = True, multi_line: bool = True) -> DataFrame:
     """All graded files of these languages in one scan, with a ``lang`` column.
 
     A file whose header differs is an error. Files with missing columns can be
     read on their own and joined by :func:`combine`.
     """
-    raw = (
-        spark.read.schema(_HEADER)
-        .option("sep", "\t").option("header", True).option("enforceSchema", False)
-        .option("quote", '"').option("escape", '"')
-        .csv([f"{folder}/*{lang}.tsv" for lang in langs])
-    )
+    raw = delimited(spark, _HEADER, "\t", strict, multi_line).csv(
+        [f"{folder}/*{lang}.tsv" for lang in langs])
     pattern = f"({'|'.join(langs)})\\.tsv"
     return raw.select(
         *[F.col(h).alias(n) for h, n in schemas.GRADED_HEADER.items()],
@@ -46,16 +62,19 @@ def combine(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def read_combined(spark: SparkSession, path: str, row_labels: bool = True) -> DataFrame:
-    """A combined file. Its leading row labels are dropped."""
-    schema = schemas.COMBINED if row_labels else schemas.GRADED
-    return (
-        spark.read.schema(schema)
-        .option("sep", "|").option("header", True)
-        .option("quote", '"').option("escape", '"')
-        .csv(path)
-        .select(*schemas.GRADED.names)
-    )
+def read_combined(spark: SparkSession, path: str, row_labels: str | None = "row_label",
+                  strict: bool = True, multi_line: bool = True) -> DataFrame:
+    """A combined file. Its leading row labels are dropped.
+
+    ``row_labels`` is the header of their column: ours by default, empty in files
+    that pandas wrote, and None in files without such a column.
+    """
+    fields = list(_HEADER)
+    if row_labels is not None:
+        fields = [T.StructField(row_labels or "_c0", T.LongType()), *fields]
+    raw = delimited(spark, T.StructType(fields), "|", strict, multi_line).option(
+        "enforceSchema", row_labels == "").csv(path)
+    return raw.select(*[F.col(h).alias(n) for h, n in schemas.GRADED_HEADER.items()])
 
 
 def score_value(score: Column) -> Column:

@@ -10,6 +10,10 @@ from quizlens.operators.ordering import combined_order, with_position
 from quizlens.sources.graded import header_columns
 
 
+#: Files with quoted line breaks are read by one task each.
+MAX_ROWS_PER_FILE = 500_000
+
+
 def write_table(data: DataFrame, path: str, sep: str = ",", index_keys: Sequence[str] = (),
                 folder_by: Sequence[str] = (), mode: str = "overwrite") -> None:
     """Write with header. Blanks at the ends of cells are kept, unlike by default.
@@ -24,6 +28,7 @@ def write_table(data: DataFrame, path: str, sep: str = ",", index_keys: Sequence
         data.write.mode(mode).partitionBy(*folder_by)
         .option("sep", sep).option("header", True)
         .option("quote", '"').option("escape", '"')
+        .option("maxRecordsPerFile", MAX_ROWS_PER_FILE)
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )

@@ -83,6 +83,7 @@ class ModelPolicy(NamedTuple):
     model: str
     history: bool  # second question sees the first question and its answer
     image_in_turn_2: bool  # second request carries the picture
+    image_first: bool  # the picture precedes the question in its turn
     blank_turn: bool  # an empty assistant turn closes every request
     raw_history: bool  # history holds the answer before cleaning
     max_new_tokens: int
@@ -93,22 +94,22 @@ class ModelPolicy(NamedTuple):
 
 # --- Fixed values: one row per model -----------------------------------------
 POLICIES = (
-    ModelPolicy("cogvlm2", True, False, False, False, 2048, "default",
+    ModelPolicy("cogvlm2", True, False, False, False, False, 2048, "default",
                 ("cut_marker", "collapse"), ("cut_marker", "collapse")),
-    ModelPolicy("deepseekvl", True, True, True, False, 512, "greedy",
+    ModelPolicy("deepseekvl", True, True, True, True, False, 512, "greedy",
                 ("collapse",), ("collapse",)),
-    ModelPolicy("internvl2", True, True, False, False, 1024, "sampling",
+    ModelPolicy("internvl2", True, True, True, False, False, 1024, "sampling",
                 ("collapse",), ("collapse",)),
-    ModelPolicy("llava1.6", True, True, False, False, 100, "default",
+    ModelPolicy("llava1.6", True, True, False, False, False, 100, "default",
                 ("collapse", "echo_1_wrapped"), ("collapse", "prefix")),
-    ModelPolicy("molmo", False, True, False, False, 200, "stop string",
+    ModelPolicy("molmo", False, True, False, False, False, 200, "stop string",
                 ("collapse",), ("collapse",)),
-    ModelPolicy("phi3", False, True, False, False, 1000, "greedy",
+    ModelPolicy("phi3", False, True, True, False, False, 1000, "greedy",
                 (), ()),
-    ModelPolicy("pixtral", True, True, False, False, 500, "default",
+    ModelPolicy("pixtral", True, True, False, False, False, 500, "default",
                 ("echo_1", "collapse"), ("echo_1", "echo_2", "newlines", "collapse")),
-    ModelPolicy("qwen2vl", True, True, False, False, 256, "default",
+    ModelPolicy("qwen2vl", True, True, True, False, False, 256, "default",
                 ("collapse",), ("collapse",)),
-    ModelPolicy("smolvlm", True, True, False, True, 500, "default",
+    ModelPolicy("smolvlm", True, True, True, False, True, 500, "default",
                 ("collapse",), ("collapse",)),
 )

@@ -11,6 +11,7 @@ from quizlens.sources import answers as answer_files
 from quizlens.sources.listing import load_bytes
 from quizlens.values import POLICIES, PROMPTS
 
+PICTURE_FIRST = {"deepseekvl", "internvl2", "phi3", "qwen2vl", "smolvlm"}
 Q1, Q2 = PROMPTS["eng"][1], PROMPTS["eng"][2].replace("CITY", "Roma")
 
 
@@ -58,7 +59,8 @@ def test_unknown_catalogue_id_raises(spark):
 def test_first_dialogue(all_models):
     picture = ("image", "./dataset/i1_flore.jpg")
     for row in requests.ask_first(all_models).collect():
-        expected = [("user", [("text", Q1), picture])]
+        expected = [("user", [picture, ("text", Q1)] if row.model in PICTURE_FIRST else
+                     [("text", Q1), picture])]
         if row.model == "deepseekvl":
             expected.append(("assistant", [("text", "")]))
         assert plain(row.dialogue_1) == expected
@@ -69,11 +71,17 @@ def test_second_dialogue_follows_each_models_settings(all_models):
     picture = ("image", "./dataset/i1_flore.jpg")
     blank = ("assistant", [("text", "")])
     usual = [("user", [("text", Q1), picture]), ("assistant", [("text", "A")]), ("user", [("text", Q2)])]
-    expected = {p.model: usual for p in POLICIES} | {
-        "molmo": [("user", [("text", Q2), picture])],
-        "phi3": [("user", [("text", Q2), picture])],
+    turned = [("user", [picture, ("text", Q1)]), *usual[1:]]
+    expected = {
         "cogvlm2": [("user", [("text", Q1)]), *usual[1:]],
-        "deepseekvl": [usual[0], blank, *usual[1:], blank],
+        "deepseekvl": [turned[0], blank, *turned[1:], blank],
+        "internvl2": turned,
+        "llava1.6": usual,
+        "molmo": [("user", [("text", Q2), picture])],
+        "phi3": [("user", [picture, ("text", Q2)])],
+        "pixtral": usual,
+        "qwen2vl": turned,
+        "smolvlm": turned,
     }
     assert {r.model: plain(r.dialogue_2) for r in asked.collect()} == expected
 
@@ -111,7 +119,7 @@ def make_echoing_responder():
             said = [p["text"] for t in turns if t["role"] == "assistant" for p in t["content"]]
             asked = [p["text"] for t in turns if t["role"] == "user" for p in t["content"]
                      if p["type"] == "text"]
-            found.append(f"[INST] {asked[-1]} [/INST] A\n\nB<|end_of_text|>{'+'.join(said)}")
+            found.append((f"[INST] {asked[-1]} [/INST] A\n\nB<|end_of_text|>{'+'.join(said)}", 7))
         return found
     return respond
 
@@ -144,8 +152,8 @@ def test_answers_are_cleaned_and_remembered_by_model(all_models):
 def test_raw_history_reaches_the_second_question(all_models):
     def make():
         def respond(batch):
-            return [str(sum(len(p["text"]) for t in d if t["role"] == "assistant" for p in t["content"]))
-                    + "  .." for d in batch["dialogue"]]
+            return [(str(sum(len(p["text"]) for t in d if t["role"] == "assistant"
+                             for p in t["content"])) + "  ..", 7) for d in batch["dialogue"]]
         return respond
     rows = {r.model: r.answer_2 for r in answering.answer_two_questions(all_models, make).collect()}
     assert rows["smolvlm"] == "5 .."  # "0  .." as it came
@@ -153,21 +161,70 @@ def test_raw_history_reaches_the_second_question(all_models):
 
 
 def test_rendered_length_cuts_the_repeated_request(all_models):
-    llava = all_models.where("model = 'llava1.6'").withColumn("rendered_length", F.length("question_2") + 14)
+    llava = all_models.where("model = 'llava1.6'")
+
+    def rendered(dialogue):
+        return "".join(f"{t['role']}: {p['text'] or '<image>'} " for t in dialogue for p in t["content"])
+
     def make():
-        return lambda batch: ["request " + d[-1]["content"][0]["text"][1:] + "answer" for d in batch["dialogue"]]
-    assert answering.answer_two_questions(llava, make).first().answer_2 == "answer"
+        # The request is longer by the first answer, and 7 characters of it are not repeated.
+        return lambda batch: [(rendered(d)[7:] + f"answer {len(d)}", len(rendered(d)))
+                              for d in batch["dialogue"]]
+
+    assert answering.answer_two_questions(llava, make).first().answer_2 == "answer 3"
+
 
+def test_missing_rendered_length_raises_where_it_is_needed(all_models):
+    make = lambda: lambda batch: ["x"] * len(batch)
+    with pytest.raises(Exception, match="no length of the request"):
+        answering.answer_two_questions(all_models.where("model = 'llava1.6'"), make).collect()
+    assert answering.answer_two_questions(
+        all_models.where("model = 'molmo'"), make).first().answer_2 == "x"
 
-def test_each_request_is_answered_once(spark, all_models):
-    calls = spark.sparkContext.accumulator(0)
+
+def counting_responder(folder):
+    """Writes a file for every make and one for every batch, named by its rows.
+
+    A responder outlives its task, so accumulators of a task would miss later ones.
+    """
     def make():
+        import os
+        import uuid
+        open(os.path.join(folder, f"made-{uuid.uuid4()}"), "w").close()
+
         def respond(batch):
-            calls.add(len(batch))
-            return ["x"] * len(batch)
+            open(os.path.join(folder, f"batch-{len(batch)}-{uuid.uuid4()}"), "w").close()
+            return [("x", 7)] * len(batch)
         return respond
+    return make
+
+
+def counted(folder):
+    names = [p.name.split("-") for p in folder.iterdir()]
+    return (sum(n[0] == "made" for n in names), sum(n[0] == "batch" for n in names),
+            sum(int(n[1]) for n in names if n[0] == "batch"))
+
+
+def test_one_responder_per_worker_process_serves_both_turns(spark, all_models, tmp_path):
+    make = counting_responder(str(tmp_path))
+
+    many = all_models.crossJoin(spark.range(40).withColumnRenamed("id", "copy")).repartition(40)
+    answering.answer_two_questions(many, make).write.format("noop").mode("overwrite").save()
+    made, batches, asked = counted(tmp_path)
+    cores = spark.sparkContext.defaultParallelism
+    assert 1 <= made <= 2 * cores < 40 < batches and asked == 2 * 40 * len(POLICIES)
+
+
+def test_rows_per_task(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert ask_plan.spread(spark.range(1000), 10).rdd.getNumPartitions() == 100
+    assert ask_plan.spread(spark.range(5), 10).rdd.getNumPartitions() == cores
+
+
+def test_each_request_is_answered_once(all_models, tmp_path):
+    make = counting_responder(str(tmp_path))
     answering.answer_two_questions(all_models, make).write.format("noop").mode("overwrite").save()
-    assert calls.value == 2 * len(POLICIES)
+    assert counted(tmp_path)[2] == 2 * len(POLICIES)
 
 
 def test_wrong_number_of_answers_is_an_error(all_models):
@@ -199,4 +256,23 @@ def test_ask_from_folder_to_files(spark, tmp_path):
     assert {(r.answer_1, r.answer_2) for r in seen.collect()} == {("not a picture", "not a picture")}
     ask_plan.save(found, out, lines)
     assert spark.read.parquet(out).count() == 6
-    assert answer_files.read_answers(spark, lines).count() == 6
+    back = answer_files.read_answers(spark, lines).collect()
+    assert len(back) == 6 and {(r.model, r.lang) for r in back} == {("cogvlm2", "ita")}
+
+
+def test_manifest_ids_as_written_and_unsafe_answers(spark, tmp_path):
+    (tmp_path / "catalogue.csv").write_text(
+        "id;subject;city;flore;wiki;other\n1;Arena;Verona;x;;\n2;Duomo;Milano;;x;x\n", encoding="utf8")
+    manifest = spark.createDataFrame(
+        [("./dataset/i01_wiki.jpg", "s3://b/1"), ("./dataset/i2_other.jpg", "s3://b/2")],
+        "path string, uri string")
+    make = lambda: lambda batch: ["a|b" if "i2" in p else "fine" for p in batch["path"]]
+    out, lines = str(tmp_path / "answers"), str(tmp_path / "lines")
+    ask_plan.save(ask_plan.ask(spark, manifest, str(tmp_path / "catalogue.csv"), "phi3", make,
+                               ["ita", "eng"]), out, lines)
+    assert spark.read.parquet(out).count() == 4
+    read = answer_files.read_answers(spark, lines).collect()
+    assert {(r.id, r.model, r.lang, r.subject) for r in read} == {
+        ("01", "phi3", "ita", "Arena"), ("01", "phi3", "eng", "Arena")}
+    unsafe = spark.read.parquet(lines + "-unsafe").collect()
+    assert [(r.id, r.reason, r.answer_1) for r in unsafe] == [("2", "separator", "a|b")] * 2

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quizlens import schemas
 from quizlens.operators import differences, grading, metrics
 from quizlens.plans import analyse, combine as combine_plan
-from quizlens.session import shared_dir
+from quizlens.session import run_folder, shared_dir, stored
 from quizlens.sources import answers, catalogue, graded, listing, tables
 
 HEADER = "\t".join(schemas.GRADED_HEADER)
@@ -57,6 +57,84 @@ def test_graded_file_with_other_header_is_an_error(spark, tmp_path):
         graded.read_graded(spark, str(tmp_path), ["eng"]).collect()
 
 
+HARD = ["line one\nline two", "tab\there", 'say "x", "y"', "back\\slash\\", "a|b", "\n", "x\r\ny", " ", "é\u2028"]
+
+
+def test_hard_answers_survive_both_formats(spark, tmp_path):
+    rows = [(i, "Phi3_ENG", f"./dataset/i{i}_wiki.jpg", "wiki", "Roma", "s", text, None, "OK", "NO", None,
+             text[::-1], None, None, None, None, "eng") for i, text in enumerate(HARD)]
+    kinds = ", ".join(f"{n} {'int' if n == 'id' else 'string'}" for n in [*schemas.GRADED.names, "lang"])
+    frame = spark.createDataFrame(rows, kinds)
+    tables.write_graded(frame, str(tmp_path / "graded"))
+    back = graded.read_graded(spark, str(tmp_path / "graded"), ["eng"])
+    assert sorted(map(tuple, back.collect())) == rows
+    tables.write_combined(frame, str(tmp_path / "combined"))
+    back = graded.read_combined(spark, str(tmp_path / "combined"))
+    assert sorted(map(tuple, back.collect())) == [r[:-1] for r in rows]
+
+
+@pytest.mark.parametrize("line", [
+    graded_line(1, "x_eng", answer="left\tright"), graded_line("x1", "x_eng"), "1\tx_eng"])
+def test_bad_graded_rows_raise_whatever_is_read(spark, tmp_path, line):
+    (tmp_path / "x_eng.tsv").write_text(f"{HEADER}\n{line}\n", encoding="utf8")
+    read = graded.read_graded(spark, str(tmp_path), ["eng"])
+    for frame in (read, read.select("id") if "x1" in line else read.select("model")):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            frame.collect()
+    assert graded.read_graded(spark, str(tmp_path), ["eng"], strict=False).count() == 1
+
+
+def test_combined_files_check_their_header_and_pandas_files_read(spark, tmp_path):
+    names = list(schemas.GRADED_HEADER)
+    cells = graded_line(1, "x_eng").split("\t")
+    (tmp_path / "pandas.csv").write_text(
+        "|" + "|".join(names) + '\n0|' + "|".join(cells) + "\n", encoding="utf8")
+    row = graded.read_combined(spark, str(tmp_path / "pandas.csv"), row_labels="").first()
+    assert (row.id, row.model, row.city) == (1, "x_eng", "Roma")
+    names[2], names[3] = names[3], names[2]
+    (tmp_path / "other.csv").write_text(
+        "row_label|" + "|".join(names) + "\n0|" + "|".join(cells) + "\n", encoding="utf8")
+    with pytest.raises(Exception):
+        graded.read_combined(spark, str(tmp_path / "other.csv")).collect()
+
+
+def test_small_graded_folder_gives_known_tables(spark, graded_folder):
+    enriched = grading.enrich(graded.read_graded(spark, graded_folder))
+    report = analyse.report(enriched, names=["Phi-3.5", "Molmo"])
+    assert {tuple(r) for r in report["accuracy_eng"].collect()} == {
+        ("Phi-3.5", "wiki", 0.5, 0.5, 1.0), ("Molmo", "wiki", 0.0, 0.0, 0.0)}
+    assert {tuple(r)[:4] for r in report["ita_eng_diff"].collect()} == {
+        ("Phi-3.5", 1, 0, 0), ("Molmo", 0, 0, 1)}
+    assert {tuple(r)[:4] for r in report["eng_subject_diff"].collect()} == {
+        ("Phi-3.5", 1, -1, 0), ("Molmo", 0, 0, -1)}
+    assert {(r.picture, r.city_1, r["count"]) for r in report["picture_city1_combo"].collect()} == {
+        ("Roma / s2", "PAR (EN)", 1), ("Roma / s1", "OK (EN)", 1), ("Roma / s1", "NO (EN)", 1),
+        ("Roma / s1", "OK (IT)", 1)}
+
+
+def test_a_third_language_is_shown_or_raises(spark):
+    rows = [(lang, "p", "OK") for lang in ("eng", "ita", "fra")]
+    frame = spark.createDataFrame(rows, "lang string, picture string, city_1 string")
+    with pytest.raises(Exception, match="no tag for language: fra"):
+        metrics.outcome_counts_by_language(frame, "city_1").collect()
+    loose = metrics.outcome_counts_by_language(frame, "city_1", strict=False).collect()
+    assert sorted((r.city_1 or "", r.lang_order) for r in loose) == [("", 2), ("OK (EN)", 0), ("OK (IT)", 1)]
+    tags = {"eng": " (EN)", "ita": " (IT)", "fra": " (FR)"}
+    three = metrics.outcome_counts_by_language(frame, "city_1", tags=tags).collect()
+    assert {r.city_1: r.display_order for r in three} == {"OK (EN)": 2, "OK (IT)": 1, "OK (FR)": 0}
+    full = frame.withColumns({"algorithm": F.lit("m"), "dataset": F.lit("wiki"),
+                              "subject_1": F.lit("OK"), "subject_2": F.lit(None).cast("string")})
+    report = analyse.report(full, names=["m"], tags=tags)
+    assert report["accuracy_fra"].count() == 1 and report["picture_city1_combo"].count() == 3
+
+
+def test_run_folders_are_removed(spark):
+    with run_folder(spark) as folder:
+        kept = stored(spark.range(3), "x")
+        assert kept.count() == 3 and os.path.isdir(folder.removeprefix("file:"))
+    assert not os.path.exists(folder.removeprefix("file:"))
+
+
 def test_scores(spark):
     frame = spark.createDataFrame([(s,) for s in ("0", "1", "0,5", "*0,5", "good", None)], "s string")
     assert [r[0] for r in frame.select(graded.score_value(F.col("s"))).collect()] == [
@@ -112,10 +190,11 @@ def test_answer_lines_keep_every_character(spark, tmp_path):
     lines = ['1|./a.jpg|wiki|Roma|x| "q\\" , |\\n ', "2|./b.jpg|flore|||�|", "3|p|d|c|s|'|''"]
     (tmp_path / "a.csv").write_text("\n".join(lines) + "\n", encoding="utf8")
     rows = answers.read_answers(spark, str(tmp_path / "a.csv"))
-    assert ["|".join(r) for r in rows.collect()] == lines
+    assert ["|".join(r[:7]) for r in rows.collect()] == lines
+    rows = rows.drop("model", "lang")
     answers.append_answer_lines(rows, str(tmp_path / "out"))
     answers.append_answer_lines(rows, str(tmp_path / "out"))
-    back = Counter("|".join(r) for r in answers.read_answers(spark, str(tmp_path / "out")).collect())
+    back = Counter("|".join(r[:7]) for r in answers.read_answers(spark, str(tmp_path / "out")).collect())
     assert back == Counter(lines * 2)
 
 

@@ -51,14 +51,15 @@ def test_outcome_counts_drop_null_keep_par(answers):
 
 
 def test_weighted_metrics_over_the_cube_equal_direct_ones(answers):
-    cube = grading.add_flags(metrics.outcome_cube(answers))
-    assert cube.count() < answers.count()
+    both = metrics.outcome_cubes(answers)
+    cube, pictures = grading.add_flags(both.where("cube = 'model'")), both.where("cube = 'picture'")
+    assert cube.count() < answers.count() and pictures.count() < answers.count()
     for direct, summed in (
         (metrics.accuracy(answers), metrics.accuracy(cube, weight="answers")),
         (metrics.outcome_counts(answers, ["picture"], "subject_1"),
-         metrics.outcome_counts(cube, ["picture"], "subject_1", "answers")),
+         metrics.outcome_counts(pictures, ["picture"], "subject_1", "answers")),
         (metrics.outcome_counts_by_language(answers, "city_1"),
-         metrics.outcome_counts_by_language(cube, "city_1", weight="answers")),
+         metrics.outcome_counts_by_language(pictures, "city_1", weight="answers")),
         (differences.language_difference(answers, names=["m0", "m1", "zz"]),
          differences.language_difference(cube, names=["m0", "m1", "zz"], weight="answers")),
     ):
@@ -152,16 +153,16 @@ def test_audit(answers):
 
 # --- lookups -------------------------------------------------------------------
 
-@pytest.mark.parametrize("max_rows", [1000, 5])
-def test_lookup_is_the_same_by_broadcast_and_by_shuffle(spark, max_rows):
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_lookup_is_the_same_by_broadcast_and_by_shuffle(spark, threshold):
     facts = spark.range(1000).withColumn("k", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50))
     dim = spark.range(50).select(F.col("id").alias("key"), F.concat(F.lit("v"), "id").alias("v"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
-        found = lookups.lookup(facts, dim, "k", "key", ["v"], max_rows=max_rows)
+        found = lookups.lookup(facts, dim, "k", "key", ["v"])
         plan = found._jdf.queryExecution().executedPlan().toString()
-        assert ("BroadcastHashJoin" in plan) == (max_rows == 1000)
-        assert ("SortMergeJoin" in plan) == (max_rows == 5)
+        assert ("BroadcastHashJoin" in plan) == (threshold == "10m")
+        assert ("SortMergeJoin" in plan) == (threshold == "-1")
         assert all(r.v == f"v{r.k}" for r in found.collect())
         assert found.count() == 1000
     finally:
@@ -195,11 +196,18 @@ def test_large_lookup_splits_a_hot_key(spark):
             spark.conf.set(name, value) if value else spark.conf.unset(name)
 
 
-def test_small_side_checks_bytes_as_well(spark):
-    wide = spark.range(4).withColumn("t", F.repeat(F.lit("x"), 1000))
-    assert lookups.small_side(wide, max_bytes=500) is None
-    assert lookups.small_side(wide, max_rows=3) is None
-    assert lookups.small_side(wide).count() == 4
+def test_lookup_in_a_wide_table_passes_no_rows_to_the_driver(spark):
+    wide = spark.range(300).select(
+        F.col("id").alias("key"), F.repeat(F.sha1(F.col("id").cast("string")), 2_500).alias("v"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10m")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10k")
+    try:
+        found = lookups.lookup(spark.range(300).withColumnRenamed("id", "k"), wide, "k", "key", ["v"])
+        assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+        assert found.where(F.length("v") == 100_000).count() == 300
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "toArrow" not in open(lookups.__file__).read()
 
 
 def test_lookup_demands_exactly_one_row(spark):

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as contract
 from conftest import SF_TINY
 
-QUERIES = contract.queries()
+QUERIES = contract.QUERIES
 NO_SHUFFLE = [
     "parse_path", "exclude_paths", "strip_text", "collapse_ws", "drop_newlines", "cut_at_marker",
     "remove_echo", "drop_prefix", "flag_ok_2q", "picture_key", "combine_graded", "lookup_catalogue",
@@ -15,7 +15,7 @@ NO_SHUFFLE = [
     "gallery_filter", "gallery_labels",
 ]
 # Windows without a partition see one sheet of 40 rows, or one row per partition.
-BOUNDED_WINDOWS = {"gallery_grid", "indexed_table", "roundtrip_table"}
+BOUNDED_WINDOWS = {"combined_sorted", "gallery_grid", "indexed_table", "roundtrip_table"}
 
 
 @pytest.fixture(scope="module")
