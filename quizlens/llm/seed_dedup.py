@@ -17,7 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from quizlens.llm import windows
 
@@ -30,10 +30,8 @@ def maximal_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     also start elsewhere; ``later``: also at an earlier position."""
     gram = min(gram, length)
     twins, open_rows = windows.repeated(windows.runs(docs, "words", length, gram), "seed-run")
-    edges = docs.join(windows.lists(open_rows, "d", "t"), ["d", "t"]).withColumn(
-        "parent", F.lit(0))
-    singles, _ = windows.repeated(
-        windows.blocks(edges, "text", "words", length, 1), "seed-single")
+    edges = windows.packed(docs).join(windows.lists(open_rows, "d", "t"), ["d", "t"])
+    singles, _ = windows.repeated(windows.blocks(edges, "words", length, 1), "seed-single")
     return twins.unionByName(singles)
 
 

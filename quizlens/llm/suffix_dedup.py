@@ -45,12 +45,13 @@ def previous_factors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     parts = stored(windows.cut(docs, open_rows, length), "lpf-part")
     whole = F.array(F.struct(F.lit(0).alias("first"), F.col("count"), F.col("anchor")))
     edges, narrow = windows.repeated(
-        windows.blocks(parts.withColumn("runs", whole), "part", "bytes", length, block),
+        windows.blocks(parts.withColumn("runs", whole), "bytes", length, block),
         "lpf-block")
     inner = windows.lists(
         narrow.withColumn("first", F.col("first") - F.col("parent")), "d", "t", "parent")
     singles, _ = windows.repeated(
-        windows.blocks(parts.join(inner, ["d", "t", "parent"]), "part", "bytes", length, 1),
+        windows.blocks(parts.select("d", "t", "parent", "part").join(
+            inner, ["d", "t", "parent"]), "bytes", length, 1),
         "lpf-single")
     return twins.unionByName(edges).unionByName(singles)
 

@@ -22,13 +22,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from quizlens.llm.codes import CONTENT, Runs, Sums, Words, mix, pieces, text_units
 from quizlens.session import stored
 
 NO_ID = -(1 << 63)
-ROWS = ("core long, content long, d long, t long, parent int, first int, count int, anchor int")
+RUNS = "core long, content long, d long, t long, first int, count int, anchor int"
+BLOCKS = "core long, content long, d long, t long, parent int, first int, count int, anchor int"
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
@@ -70,12 +72,33 @@ def runs(docs: DataFrame, unit: str, length: int, gram: int) -> DataFrame:
                 found = Runs(codes, bounds, length, gram)
                 if len(found.first):
                     row = np.searchsorted(bounds, found.first, "right") - 1
-                    first = found.first - bounds[row]
-                    yield as_batch(ROWS, found.seed, found.content(), d[low:high][row],
-                                   t[low:high][row], first, first, found.count,
+                    yield as_batch(RUNS, found.seed, found.content(), d[low:high][row],
+                                   t[low:high][row], found.first - bounds[row], found.count,
                                    found.anchor - found.first)
 
-    return docs.select("d", "t", "text").mapInArrow(emit, ROWS)
+    return docs.select("d", "t", "text").mapInArrow(emit, RUNS)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``with_keys`` documents with their text compressed: each of the joins that
+    brings text to its windows moves half the bytes."""
+    schema = "d long, t long, doc_id long, packed binary"
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            text = batch.column("text").cast(pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in ("d", "t", "doc_id")),
+                 pa.array([compress(x) for x in text.to_pylist()], pa.binary())],
+                names=["d", "t", "doc_id", "packed"])
+
+    return docs.select("d", "t", "doc_id", "text").mapInArrow(emit, schema)
+
+
+def unpacked(column: pa.Array) -> pa.Array:
+    decompress = zstandard.ZstdDecompressor().decompress
+    return pa.array([decompress(x) for x in column.to_pylist()], pa.large_binary())
 
 
 def repeated(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -85,11 +108,11 @@ def repeated(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     by one. Open is one row of each content whose core has several contents.
     """
     rows = stored(rows, f"{name}-rows")
-    place = F.struct("d", "t", "parent", "first", "count", "anchor")
+    place = F.struct("d", "t", "first", *[c for c in ("parent", "count", "anchor")
+                                          if c in rows.columns])
     kinds = stored(
         rows.groupBy("core", "content")
         .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")), f"{name}-kinds")
-    # A place is 36 bytes: only kinds of repeated cores travel further.
     mixed = stored(kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"))
                    .where("kinds > 1").select("core"), f"{name}-mixed")
     open_rows = stored(kinds.join(mixed, "core", "left_semi").select("at.*"), f"{name}-open")
@@ -114,7 +137,7 @@ def cut(docs: DataFrame, open_rows: DataFrame, length: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, t = column_of(batch, "d"), column_of(batch, "t")
-            for low, high, data, offsets in pieces(batch.column("text")):
+            for low, high, data, offsets in pieces(unpacked(batch.column("packed"))):
                 row, first, count, anchor = unnest(batch.column("runs").slice(low, high - low))
                 start = offsets[row] + first
                 end = start + count + length - 1
@@ -123,8 +146,8 @@ def cut(docs: DataFrame, open_rows: DataFrame, length: int) -> DataFrame:
                 yield as_batch(schema, d[low:high][row], t[low:high][row], first, count, anchor,
                                pa.array(parts, pa.binary()))
 
-    return docs.join(lists(open_rows, "d", "t"), ["d", "t"]).select(
-        "d", "t", "text", "runs").mapInArrow(emit, schema)
+    return packed(docs).join(lists(open_rows, "d", "t"), ["d", "t"]).select(
+        "d", "t", "packed", "runs").mapInArrow(emit, schema)
 
 
 def unnest(column: pa.Array) -> tuple[np.ndarray, ...]:
@@ -135,9 +158,12 @@ def unnest(column: pa.Array) -> tuple[np.ndarray, ...]:
     return np.repeat(np.arange(len(column)), sizes), *parts
 
 
-def blocks(docs: DataFrame, text: str, unit: str, length: int, size: int) -> DataFrame:
+def blocks(parts: DataFrame, unit: str, length: int, size: int) -> DataFrame:
     """Runs taken apart into rows of at most ``size`` windows.
 
+    ``parts`` has bytes in ``part`` that begin at ``parent``, or whole documents
+    in ``packed``, and ``runs`` in places of those bytes.
+
     A block holds windows whose distance from the anchor is in the same
     ``size``-wide range, so equal windows meet in equal blocks. The core is what
     all windows of the full range have in common.
@@ -146,7 +172,8 @@ def blocks(docs: DataFrame, text: str, unit: str, length: int, size: int) -> Dat
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, t, parent = (column_of(batch, n) for n in ("d", "t", "parent"))
-            for low, high, data, offsets in pieces(batch.column(text)):
+            text = batch.column(3)
+            for low, high, data, offsets in pieces(unpacked(text) if whole else text):
                 codes, bounds = text_units(unit, data, offsets)
                 row, first, count, anchor = unnest(batch.column("runs").slice(low, high - low))
                 if not len(row):
@@ -165,11 +192,15 @@ def blocks(docs: DataFrame, text: str, unit: str, length: int, size: int) -> Dat
                 start, n = at - farthest, farthest - nearest + 1
                 content = mix(sums.of(start, start + n + length - 1) + farthest.astype(np.uint64))
                 row = row[each]
-                yield as_batch(ROWS, core, content, d[low:high][row], t[low:high][row],
+                yield as_batch(BLOCKS, core, content, d[low:high][row], t[low:high][row],
                                parent[low:high][row], parent[low:high][row] + start - bounds[row],
                                n, farthest)
 
-    return docs.select("d", "t", "parent", text, "runs").mapInArrow(emit, ROWS)
+    whole = "packed" in parts.columns
+    if whole:
+        parts = parts.withColumn("parent", F.lit(0))
+    return parts.select("d", "t", "parent", "packed" if whole else "part", "runs").mapInArrow(
+        emit, BLOCKS)
 
 
 def covered(docs: DataFrame, unit: str, spans: DataFrame, length: int, schema: str,
@@ -183,7 +214,7 @@ def covered(docs: DataFrame, unit: str, spans: DataFrame, length: int, schema: s
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, offsets in pieces(batch.column("text")):
+            for low, high, data, offsets in pieces(unpacked(batch.column("packed"))):
                 words = Words(data, offsets) if unit == "words" else None
                 bounds = words.bounds if words else offsets
                 row, first, count, _ = unnest(batch.column("runs").slice(low, high - low))
@@ -196,8 +227,8 @@ def covered(docs: DataFrame, unit: str, spans: DataFrame, length: int, schema: s
                                batch.column("doc_id").slice(low, high - low), *columns)
 
     empty = F.array().cast("array<struct<first:int,count:int,anchor:int>>")
-    return docs.join(per_doc, ["d", "t"], "left").select(
-        "doc_id", "text", F.coalesce("runs", empty).alias("runs")
+    return packed(docs).join(per_doc, ["d", "t"], "left").select(
+        "doc_id", "packed", F.coalesce("runs", empty).alias("runs")
     ).mapInArrow(emit, f"doc_id long, {schema}")
 
 
