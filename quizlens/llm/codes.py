@@ -8,6 +8,8 @@ or one text if that is longer).
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,22 +37,24 @@ _BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7
 
 
 class Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, grown on demand."""
+    """Powers of an odd number and of its inverse modulo 2**64, grown on demand.
 
-    def __init__(self, base: int):
-        self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
+    They are kept by the process, in a module of their own: tasks bring a copy of
+    this package each, and would otherwise leave tables behind.
+    """
 
-    def __reduce__(self):
-        return Powers, (self.base,)
+    def __init__(self, base: int):
+        self.base = base
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
+        kept = sys.modules.setdefault("_kept_powers", types.ModuleType("_kept_powers")).__dict__
+        if len(kept.get(self.base, ((),))[0]) < n:
             def powers(base: int) -> np.ndarray:
-                steps = np.full(2 * n, base % 2**64, np.uint64)
+                steps = np.full(n + n // 4, base % 2**64, np.uint64)
                 steps[0] = 1
                 return np.multiply.accumulate(steps)
-            self.up, self.down = powers(self.base), powers(pow(self.base, -1, 2**64))
-        return self.up, self.down
+            kept[self.base] = powers(self.base), powers(pow(self.base, -1, 2**64))
+        return kept[self.base]
 
 
 GRAMS, CONTENT = Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F)
