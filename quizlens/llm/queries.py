@@ -64,13 +64,13 @@ QUERIES = {q.__name__: q for q in (
 #: floor(256 * x) of sound vectors, all pairs of a query and another row.
 OP2_SQL = """
 with ints as (
-  select vec_id, list_transform(embedding, x -> floor(256 * x::double)::bigint) as v
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
   from embeddings
   where vec_id is not null and len(embedding) > 0
-    and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0),
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
 pairs as (
   select q.vec_id as query_id, c.vec_id as vec_id,
-    list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::bigint as score
+    list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
   from ints q join ints c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)
   where q.vec_id % 50 = 0),
 ranked as (
