@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quizlens.llm.codes import pieces
-from quizlens.llm.encoding import TOKENIZER, WordEncoder
+from quizlens.llm.encoding import PIECE_BYTES, TOKENIZER, encoder_of
 from quizlens.llm.windows import as_batch
 
 QUANTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
@@ -26,9 +26,9 @@ QUANTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 def encoded_lengths(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """n_tokens of every row; nothing but the texts travels to Python."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
-            for _, _, data, offsets in pieces(batch.column("text")):
+            for _, _, data, offsets in pieces(batch.column("text"), PIECE_BYTES):
                 yield as_batch("n_tokens long", encoder.lengths(data, offsets))
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
@@ -59,7 +59,8 @@ def limits(hist: DataFrame) -> DataFrame:
     of_group = of_group.select(
         "g", F.coalesce(F.sum("gd").over(over), F.lit(0)).alias("d_after"),
         F.coalesce(F.sum("gt").over(over), F.lit(0)).alias("t_after"),
-        F.sum("gd").over(all_rows).alias("all_docs"), F.sum("gt").over(all_rows).alias("all_tokens"))
+        F.sum("gd").over(all_rows).alias("all_docs"),
+        F.sum("gt").over(all_rows).alias("all_tokens"))
     within = Window.partitionBy("g").orderBy(F.desc("n_tokens")).rowsBetween(
         Window.unboundedPreceding, -1)
     suffix = hist.withColumn("g", group).join(of_group, "g").select(

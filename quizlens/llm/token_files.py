@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quizlens.llm.codes import pieces
-from quizlens.llm.encoding import TOKENIZER, WordEncoder
+from quizlens.llm.encoding import PIECE_BYTES, TOKENIZER, encoder_of
 from quizlens.llm.windows import NO_ID, as_batch, column_of, with_keys
 from quizlens.session import new_path
 
@@ -106,7 +106,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> Data
     where = path if "://" in path or path.startswith(("/", "file:")) else f"file://{path}"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, rows, waiting, count = WordEncoder(tokenizer), [], [], 0
+        encoder, rows, waiting, count = encoder_of(tokenizer), [], [], 0
         number = TaskContext.get().partitionId()
         filesystem, folder = pafs.FileSystem.from_uri(where)
         name = f"part-{number:06d}-{uuid.uuid4().hex}.zst"
@@ -116,7 +116,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> Data
             nonlocal writer, waiting, count
             if writer is None:
                 filesystem.create_dir(folder, recursive=True)
-                writer = FrameWriter(filesystem.open_output_stream(f"{folder}/.{name}", compression=None))
+                # The name would have the stream compressed once more.
+                writer = FrameWriter(filesystem.open_output_stream(
+                    f"{folder}/.{name}", compression=None))
             doc, size, ids = (np.concatenate(part) for part in zip(*waiting))
             rows.append((number, f"{where}/{name}", len(rows), int(doc[0]), int(doc[-1]),
                          len(doc), len(ids)))
@@ -126,7 +128,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> Data
 
         for batch in batches:
             doc = column_of(batch, "d")
-            for low, high, data, offsets in pieces(batch.column("text")):
+            for low, high, data, offsets in pieces(batch.column("text"), PIECE_BYTES):
                 ids, bounds = encoder.encode(data, offsets)
                 ids = np.insert(ids, bounds[1:], END_ID)
                 bounds = bounds + np.arange(len(bounds))
