@@ -39,7 +39,7 @@ LEVELS = ("domain", "lang", "source")
 
 
 def default_domain(source: Column) -> Column:
-    """Sources are named by a number; its last digit's parity and third part two domains."""
+    """Sources whose number ends in 0, 3, 6 or 9 are books, other numbered ones are web."""
     number = F.regexp_extract(F.coalesce(source, F.lit("")), "([0-9]+)$", 1)
     return F.when(number == "", F.lit("other")).when(
         F.substring(number, -1, 1).isin("0", "3", "6", "9"), F.lit("books")).otherwise(

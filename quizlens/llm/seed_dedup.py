@@ -7,7 +7,9 @@ equal content are extended to their full width. Where they differ, the repeat
 ends inside the run, and the extension goes window by window. Windows that meet
 again, side by side, are the maximal repeats of at least ``length`` words.
 
-Null and empty texts have no words. Repeated rows are copies like any other.
+Null and empty texts have no words. Repeated rows are copies like any other;
+those that repeat doc_id and text have one position, so that with ``keep_first``
+each of them keeps what the earliest copy keeps.
 Extra columns are ignored.
 """
 

@@ -12,7 +12,9 @@ first position (a minimum), and ``later`` says that there is one.
 Neighbouring suffixes that stay together in that order are ordered as one row
 (``windows.py``); text whose winnowed anchor is unique never gets that far.
 
-Nulls and empty texts have no bytes. Repeated rows are copies like any other.
+Nulls and empty texts have no bytes. Repeated rows are copies like any other;
+those that repeat doc_id and text have one position, so that with ``keep_first``
+each of them keeps what the earliest copy keeps.
 Documents shorter than ``length`` keep everything. Extra columns are ignored.
 """
 

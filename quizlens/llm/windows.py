@@ -207,7 +207,8 @@ def covered(docs: DataFrame, unit: str, spans: DataFrame, length: int, schema: s
             result: Callable) -> DataFrame:
     """Apply ``result`` to pieces of documents and the units that ``spans`` windows cover.
 
-    ``result(data, offsets, words, inside)`` gets one boolean per unit and returns the columns of ``schema`` after doc_id.
+    ``result(data, offsets, words, inside)`` gets one boolean per unit and returns
+    the columns of ``schema`` after doc_id.
     """
     per_doc = spans.groupBy("d", "t").agg(F.collect_list(
         F.struct("first", "count", F.lit(0).alias("anchor"))).alias("runs"))
