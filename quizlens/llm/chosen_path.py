@@ -7,6 +7,9 @@ together for k branchings with probability s**k. Nodes of up to ``NODE``
 documents are compared exhaustively; larger ones are compared with their
 smallest document and branch on. Sixteen independent trees that start at depth
 2 miss a pair at similarity 0.75 with probability 2e-6 where nodes are small.
+Branching alone would lose pairs of large nodes, so documents of large nodes
+that components have not made one meet again on their rarest shingles
+(``rest``), which leaves no pair out.
 
 Comparisons in nodes are on sketches (128 hashes) with a cut that a true pair
 misses with probability 2e-6. Every link is then confirmed on the full sets.
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quizlens.llm.codes import CONTENT, GRAMS, Sums, Words, mix, pieces
 from quizlens.llm.components import components
+from quizlens.llm.sending import received, sent
 from quizlens.llm.windows import NO_ID, as_batch, column_of, with_keys
 from quizlens.session import stored
 
@@ -38,6 +42,10 @@ NODE = 32
 #: similarity 0.75 has 96 on average, with a standard deviation of 4.9.
 ALIKE = 74
 ROW_BITS = 12
+#: Shingles are ordered by counts in so many buckets; pairs in a node of ``rest``
+#: with more than BLOCK documents are compared in cells of two blocks.
+BUCKET_BITS = 20
+BLOCK = 256
 
 _SIGNATURE = "d long, t long, n long, s1 long, s2 long, signature binary, sketch binary"
 
@@ -116,9 +124,10 @@ def nodes(members: DataFrame, depth: int) -> DataFrame:
     return members.select("x", F.explode(trees).alias("at")).select("at.tree", "at.node", "x")
 
 
-def grow(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, x) of all nodes that are compared exhaustively; (x, leader) of the others."""
-    small, stars, members = None, None, sets.select("x", "signature")
+def grow(sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node, x) of all nodes that are compared exhaustively; (x, leader) of the
+    others; (node, x) of the large nodes that trees start with."""
+    small, stars, start, members = None, None, None, sets.select("x", "signature")
     for depth in LEVELS:
         level = stored(nodes(members, depth), f"path-level{depth}")
         sizes = stored(level.groupBy("node").agg(F.count(F.lit(1)).alias("n"),
@@ -126,25 +135,28 @@ def grow(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
                        f"path-sizes{depth}")
         leaf = level.join(sizes.where(F.col("n") <= NODE), "node").select("node", "x")
         large = stored(level.join(sizes.where(F.col("n") > NODE), "node")
-                       .select("tree", "x", "leader"), f"path-large{depth}")
+                       .select("tree", "node", "x", "leader"), f"path-large{depth}")
+        start = large.select("node", "x") if start is None else start
         star = large.select("x", "leader").where("x <> leader")
         small = leaf if small is None else small.unionByName(leaf)
         stars = star if stars is None else stars.unionByName(star)
         if large.isEmpty():
             break
         members = large.select("tree", "x").join(sets.select("x", "signature"), "x")
-    return stored(small, "path-small"), stored(stars.distinct(), "path-stars")
+    return stored(small, "path-small"), stored(stars.distinct(), "path-stars"), start
 
 
 def alike_in_nodes(rows: DataFrame, all_pairs: bool) -> DataFrame:
     """Pairs (u, v), u smaller, that look alike in a node of ``rows`` (node, x, root, sketch).
 
     Only pairs of different roots count. Without ``all_pairs`` each document
-    gets the smallest one it looks like in the node.
+    gets the smallest one it looks like in the node. If ``rows`` have n and left
+    (``prefixes``), pairs that cannot share enough from there on do not count.
     """
     schema = "d1 long, t1 long, d2 long, t2 long"
+    sized = "left" in rows.columns
 
-    def compare(d, t, root_d, root_t, sketch, size):
+    def compare(d, t, root_d, root_t, sketch, size, n=None, left=None):
         shape = (-1, size)
         block = sketch.reshape(-1, size, sketch.shape[1])
         alike = np.stack([(block == block[:, [i]]).sum(2, dtype=np.uint8) >= ALIKE
@@ -152,6 +164,10 @@ def alike_in_nodes(rows: DataFrame, all_pairs: bool) -> DataFrame:
         rd, rt = root_d.reshape(shape), root_t.reshape(shape)
         alike &= (rd[:, :, None] != rd[:, None]) | (rt[:, :, None] != rt[:, None])
         alike &= np.tri(size, k=-1, dtype=bool)
+        if sized:
+            n, left = n.reshape(shape), left.reshape(shape)
+            alike &= ((100 + PERCENT) * np.minimum(left[:, :, None], left[:, None])
+                      >= PERCENT * (n[:, :, None] + n[:, None]))
         if not all_pairs:
             alike &= np.cumsum(alike, 2) == 1
         group, i, j = np.nonzero(alike)
@@ -177,6 +193,7 @@ def alike_in_nodes(rows: DataFrame, all_pairs: bool) -> DataFrame:
         node = table["node"].to_numpy()
         names = ("d", "t", "root_d", "root_t")
         d, t, root_d, root_t = (table[n].to_numpy() for n in names)
+        sizes_of = [table[n].to_numpy().astype(np.int64) for n in ("n", "left")] if sized else []
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(d), -1)
         starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
         sizes = np.diff(np.append(starts, len(node)))
@@ -185,12 +202,14 @@ def alike_in_nodes(rows: DataFrame, all_pairs: bool) -> DataFrame:
             step = max(1, 20_000 // (size * size))
             for first in range(0, len(at), step):
                 rows = (at[first:first + step, None] + np.arange(size)).ravel()
-                found = compare(d[rows], t[rows], root_d[rows], root_t[rows], sketch[rows], size)
+                found = compare(d[rows], t[rows], root_d[rows], root_t[rows], sketch[rows], size,
+                                *[column[rows] for column in sizes_of])
                 if len(found[0]):
                     yield as_batch(schema, *found)
 
     columns = rows.select("node", "x.d", "x.t", F.col("root.d").alias("root_d"),
-                          F.col("root.t").alias("root_t"), "sketch")
+                          F.col("root.t").alias("root_t"), "sketch",
+                          *(("n", "left") if sized else ()))
     found = columns.repartition("node").sortWithinPartitions("node", "d", "t").mapInArrow(
         emit, schema)
     return found.select(F.struct(F.col("d1").alias("d"), F.col("t1").alias("t")).alias("u"),
@@ -215,6 +234,124 @@ def alike_in_stars(stars: DataFrame, sets: DataFrame) -> DataFrame:
         .mapInArrow(emit, f"u {kind}, v {kind}")
 
 
+def bucket_counts(texts: DataFrame) -> np.ndarray:
+    """How many sets of ``texts`` hold a shingle, added up by buckets of shingles."""
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in few_rows(batch.column("text")):
+                codes, _ = shingle_sets(data, offsets)
+                np.add.at(total, bucket(codes), 1)
+        some = np.flatnonzero(total)
+        yield as_batch("bucket int, n long", some, total[some])
+
+    # At most 2**BUCKET_BITS rows, however many texts there are.
+    table = texts.select("text").mapInArrow(emit, "bucket int, n long").groupBy("bucket").agg(
+        F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    counts[table["bucket"].to_numpy()] = table["n"].to_numpy()
+    return counts
+
+
+def bucket(codes: np.ndarray) -> np.ndarray:
+    return (mix(codes) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def size_classes() -> np.ndarray:
+    """The smallest set size of each class; classes are 8 % wide."""
+    limits = [0]
+    while limits[-1] < 1 << 40:
+        limits.append(max(limits[-1] + 1, limits[-1] * 108 // 100))
+    return np.array(limits, np.int64)
+
+
+def prefixes(texts: DataFrame) -> DataFrame:
+    """(node, x, root, n, left) of ``texts`` (x, root, text): a node is a shingle and the
+    size classes of the two sets that may meet there, ``left`` the shingles of the
+    set from that one on.
+
+    All sets have their shingles in one order, the rare ones first. Let w be the
+    first shingle that two sets of n and m share. They share at most the smaller of
+    what is left of both from w on, and need PERCENT / (100 + PERCENT) of n + m, so
+    each has a row for w and the other's size class wherever they can be linked.
+    """
+    schema = "node long, d long, t long, root_d long, root_t long, n int, left int"
+    shared = sent(texts.sparkSession, bucket_counts(texts))
+    limits = size_classes()
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = received(shared)
+        for batch in batches:
+            keys = [column_of(batch, name) for name in ("d", "t", "root_d", "root_t")]
+            for low, high, data, offsets in few_rows(batch.column("text")):
+                codes, at = shingle_sets(data, offsets)
+                row = np.repeat(np.arange(high - low), np.diff(at))
+                count = counts[bucket(codes)]
+                order = np.lexsort((codes, count, row))
+                codes, count, n = codes[order], count[order], np.diff(at)[row]
+                left = n - (np.arange(len(row)) - at[:-1][row])
+                least = -(-PERCENT * n // 100)
+                most = np.minimum(100 * n // PERCENT,
+                                  ((100 + PERCENT) * left - PERCENT * n) // PERCENT)
+                # A bucket of one has a shingle that no other set holds.
+                use = np.flatnonzero((most >= least) & (count > 1))
+                own, first, last = (np.searchsorted(limits, size[use], "right") - 1
+                                    for size in (n, least, most))
+                many = last - first + 1
+                each = np.repeat(np.arange(len(use)), many)
+                other = first[each] + np.arange(len(each)) - np.repeat(
+                    np.cumsum(many) - many, many)
+                own, use = own[each], use[each]
+                pair = np.minimum(own, other) << 12 | np.maximum(own, other)
+                node = mix(mix(codes[use]) + pair.astype(np.uint64))
+                yield as_batch(schema, node, *[key[low:high][row[use]] for key in keys],
+                               n[use], left[use])
+
+    rows = texts.select("x.d", "x.t", F.col("root.d").alias("root_d"),
+                        F.col("root.t").alias("root_t"), "text").mapInArrow(emit, schema)
+    return rows.select("node", F.struct("d", "t").alias("x"),
+                       F.struct(F.col("root_d").alias("d"), F.col("root_t").alias("t"))
+                       .alias("root"), "n", "left")
+
+
+def rest(start: DataFrame, sets: DataFrame, texts: DataFrame, roots: DataFrame
+         ) -> DataFrame | None:
+    """Alike pairs (u, v) of different roots among documents that share a node of ``start``.
+
+    Nothing is left out: every pair that can be linked shares a node of
+    ``prefixes``. In a node only pairs of different roots matter, so those of the
+    most frequent root never meet each other, and large nodes are dealt to cells.
+    """
+    held = stored(start.join(roots, "x", "left")
+                  .select("node", "x", F.coalesce("root", "x").alias("root")), "path-held")
+    mixed = held.groupBy("node").agg(F.min("root").alias("a"), F.max("root").alias("b")).where(
+        "a <> b").select("node")
+    hot = stored(held.join(mixed, "node", "left_semi").select("x", "root").distinct(), "path-hot")
+    if hot.isEmpty():
+        return None
+    hot_texts = stored(texts.join(hot, "x").dropDuplicates(["x"]), "path-hot-texts")
+    rows = stored(prefixes(hot_texts), "path-prefixes")
+    kinds = rows.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n"))
+    kinds = stored(kinds.groupBy("node").agg(
+        F.sum("n").alias("total"), F.max("n").alias("most"),
+        F.max_by("root", F.struct("n", "root")).alias("lead"), F.count(F.lit(1)).alias("kinds"))
+        .where("kinds > 1").drop("kinds"), "path-kinds")
+    parts = lambda n: F.ceil(n / BLOCK).cast("int")
+    leads, others = parts(F.col("most")), parts(F.col("total") - F.col("most"))
+    block = lambda of: F.pmod(F.xxhash64("x"), of).cast("int")
+    cell = lambda kind, i, j: F.xxhash64("node", F.lit(kind), i, j)
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    cells = F.when(F.col("total") <= BLOCK, F.array("node")).when(
+        F.col("root") == F.col("lead"),
+        F.transform(upto(others), lambda i: cell(1, i, block(leads)))).otherwise(F.concat(
+            F.transform(upto(others), lambda j: cell(0, F.least(block(others), j),
+                                                     F.greatest(block(others), j))),
+            F.transform(upto(leads), lambda j: cell(1, block(others), j))))
+    dealt = rows.join(kinds, "node").select(F.explode(cells).alias("node"), "x", "root", "n",
+                                            "left")
+    return alike_in_nodes(dealt.join(sets.select("x", "sketch"), "x"), all_pairs=True)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full sets share enough, by the texts of ``docs`` (x, text)."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +395,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = stored(found.join(classes.select("x"), "x", "left_semi")
                   .dropDuplicates(["x"]).select("x", "signature", "sketch"), "path-reps")
     texts = keyed.select("x", "text")
-    small, stars = grow(sets)
+    small, stars, start = grow(sets)
 
     # Each document tries the smallest one it looks like in any node or star.
     alone = small.join(sets.select("x", "sketch"), "x").withColumn("root", F.col("x"))
@@ -283,6 +420,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = links.unionByName(stored(confirmed(more, texts), "path-links2"))
         roots = components(links)
 
+    # What large nodes may still hold.
+    last = rest(start, sets, texts, roots)
+    if last is not None:
+        tried = tries.unionByName(more)
+        last = stored(last.distinct().join(tried, ["u", "v"], "left_anti"), "path-last")
+        if not last.isEmpty():
+            links = links.unionByName(stored(confirmed(last, texts), "path-links3"))
+            roots = components(links)
+
     of_class = classes.join(roots, "x", "left").select(
         "n", "s1", "s2", F.coalesce("root", "x").alias("root"))
     of_class = stored(of_class, "path-roots")

@@ -46,6 +46,26 @@ def test_large_groups_chains_and_short_texts(spark, monkeypatch, node):
     assert got == brute.near_duplicates(docs)
 
 
+@pytest.mark.parametrize("node,block", [(32, 256), (4, 16)])
+def test_near_pairs_in_a_template_group(spark, monkeypatch, node, block):
+    """All members share a template and are below the threshold, but for pairs."""
+    monkeypatch.setattr(chosen_path, "NODE", node)
+    monkeypatch.setattr(chosen_path, "BLOCK", block, raising=False)
+    rng = random.Random(node)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template, docs = words(292), []
+    for pair in range(300):
+        both = words(14)
+        for _ in range(2):
+            docs.append((len(docs), " ".join(template + both + words(rng.randrange(44, 47)))))
+    docs += [(len(docs) + i, " ".join(template + words(60))) for i in range(100)]
+    rng.shuffle(docs)
+    want = brute.near_duplicates(docs)
+    assert len({c for _, c in want.values()}) == 400
+    got, _ = got_groups(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert got == want
+
+
 def test_repeated_and_null_ids_and_no_rows(spark):
     text = "a b c d e f g h"
     rows = [(5, text, "x"), (5, text, "y"), (5, "other words", "x"), (None, None, None), (9, text, "x")]
