@@ -30,17 +30,28 @@ from quizlens.session import stored
 
 K, SLICES = 5, 4
 QUERY_BLOCK, BLOCK = 1024, 2048
-LARGEST = 2**24  # integers beyond this take no part: their scores may not fit a long
+LARGEST = 2**24  # without another bound, vectors with integers from here on take no part
 EXACT = 2.0**53  # below this, sums of products in doubles are exact
 
 
-def integers(embedding: Column) -> Column:
-    """floor(256 * x) of every component; null for vectors that take no part."""
+def integers(embedding: Column, largest: float | None = LARGEST) -> Column:
+    """floor(256 * x) of every component, as doubles; null for vectors that take no part.
+
+    Doubles hold these integers exactly. With ``largest`` None every finite vector
+    takes part.
+    """
     numbers = F.transform(embedding, lambda x: x.cast("double"))
     sound = F.forall(numbers, lambda x: x.isNotNull() & ~F.isnan(x)
-                     & (F.abs(x * 256) < LARGEST))
-    return F.when(sound & (F.size(embedding) > 0),
-                  F.transform(numbers, lambda x: F.floor(x * 256)))
+                     & (F.abs(x if largest is None else x * 256)
+                        < F.lit(float("inf") if largest is None else largest)))
+
+    def whole(x: Column) -> Column:
+        y = x * 256
+        return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).when(
+            F.abs(y) < float("inf"), y).otherwise(
+            F.raise_error(F.lit("256 times a component does not fit a double")).cast("double"))
+
+    return F.when(sound & (F.size(embedding) > 0), F.transform(numbers, whole))
 
 
 def candidates(vectors: DataFrame, k: int) -> DataFrame:
@@ -88,10 +99,6 @@ def met(queries: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def partial_lists(pairs: DataFrame, phase: int, k: int, slices: int) -> DataFrame:
     """Entries (query, c) of all lists: the k best of phase 1, or all from the cutoff on."""
-    def exact(q, m):
-        top = np.abs(q).max(initial=0) * np.abs(m).max(initial=0) * q.shape[1]
-        return (q, m) if top < EXACT else (q.astype(np.int64), m.astype(np.int64))
-
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -106,8 +113,7 @@ def partial_lists(pairs: DataFrame, phase: int, k: int, slices: int) -> DataFram
         q_norm = np.stack([np.sqrt((q[:, c]**2).sum(1)) for c in cuts])
         m_norm = np.stack([np.sqrt((m[:, c]**2).sum(1)) for c in cuts])
         for s, c in enumerate(cuts):
-            a, b = exact(q[:, c], m[:, c])
-            part = (a @ b.T).astype(np.float64)
+            part = q[:, c] @ m[:, c].T
             if phase == 1:
                 best = np.argpartition(-part, min(k, len(ids) - 1), axis=1)[:, :k + 1]
                 row, col = np.repeat(np.arange(len(q_ids)), best.shape[1]), best.ravel()
@@ -116,10 +122,12 @@ def partial_lists(pairs: DataFrame, phase: int, k: int, slices: int) -> DataFram
                 rest = np.delete(np.arange(len(cuts)), s)
                 most = part + q_norm[rest].T @ m_norm[rest]
                 # Rounding can only keep an entry too many.
-                slack = 1e-9 * (np.abs(cutoff) + 1)
-                row, col = np.nonzero(
-                    (part >= (cutoff / len(cuts) - slack)[:, None])
-                    & (most >= (cutoff - slack)[:, None]))
+                slack = (1e-9 * (np.abs(cutoff) + 1))[:, None]
+                wide = np.outer(np.sqrt((q_norm**2).sum(0)), np.sqrt((m_norm**2).sum(0)))
+                if wide.max(initial=0) * q.shape[1] >= EXACT:
+                    slack = slack + 1e-15 * (q.shape[1] + 8) * wide
+                cut = np.where(np.isfinite(cutoff), cutoff, -np.inf)[:, None]
+                row, col = np.nonzero(~(part < cut / len(cuts) - slack) & ~(most < cut - slack))
                 values = part[row, col]
             if len(row):
                 yield pa.RecordBatch.from_arrays(
@@ -130,27 +138,55 @@ def partial_lists(pairs: DataFrame, phase: int, k: int, slices: int) -> DataFram
 
 
 def full_scores(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """query_id, vec_id and score of pairs (query_id, c), for all ids that c stands for."""
+    """query_id, vec_id, score and low of pairs (query_id, c), for all ids that c stands for.
+
+    Scores are exact. One above the longs raises, as the best score of its query
+    would not fit; one below them has ``low`` and raises only as a result.
+    """
+    schema = "query_id long, ids array<long>, score long, low boolean"
+    limit = 1 << 63
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = np.zeros(len(batch), np.int64)
+            low = np.zeros(len(batch), bool)
+            size = batch.column("v").value_lengths().to_numpy()
+            for n in np.unique(size).tolist():
+                at = np.flatnonzero(size == n)
+                q, v = (batch.column(name).take(pa.array(at)).flatten().to_numpy().reshape(-1, n)
+                        for name in ("q", "v"))
+                top = np.abs(q).max(1) * np.abs(v).max(1) * n
+                scores[at] = np.where(top < EXACT, (q * v).sum(1), 0).astype(np.int64)
+                for i in np.flatnonzero(~(top < EXACT)).tolist():
+                    score = sum(int(x) * int(y) for x, y in zip(q[i].tolist(), v[i].tolist()))
+                    if score >= limit:
+                        raise OverflowError(f"op2: a score of {score} does not fit a long")
+                    low[at[i]] = score < -limit
+                    scores[at[i]] = max(score, -limit)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("query_id"), batch.column("ids"), pa.array(scores), pa.array(low)],
+                names=["query_id", "ids", "score", "low"])
+
     both = pairs.join(queries.select("query_id", F.col("v").alias("q")), "query_id").join(
         vectors.select("c", "v", "ids"), "c")
-    product = F.zip_with("q", "v", lambda x, y: x * y)
-    score = F.aggregate(product, F.lit(0).cast("long"), lambda total, x: total + x)
-    return both.select("query_id", score.alias("score"), F.explode("ids").alias("vec_id")).where(
-        "query_id <> vec_id")
+    return both.select("query_id", "ids", "q", "v").mapInArrow(emit, schema).select(
+        "query_id", "score", "low", F.explode("ids").alias("vec_id")).where("query_id <> vec_id")
 
 
 def top_k(embeddings: DataFrame, is_query: Column, k: int = K, slices: int = SLICES,
-          block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+          block: int = BLOCK, query_block: int = QUERY_BLOCK,
+          largest: float | None = LARGEST) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: each query's k best other rows.
 
     Queries are the rows of ``embeddings`` (vec_id, embedding) for whose vec_id
     ``is_query`` holds. Ties go to the smaller vec_id. Vectors that are null or
     empty, or hold a null or non-finite component or one of 65,536 or more, take
     no part, nor do rows without vec_id; only vectors of equal length are
-    compared. A vec_id has one vector: the smallest, if rows repeat it.
+    compared. With ``largest`` None, as in the query, finite components of any size
+    take part, and a result that does not fit a long raises. A vec_id has one vector: the smallest, if rows repeat it.
     """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"),
-                             integers(F.col("embedding")).alias("v")).where(
+                             integers(F.col("embedding"), largest).alias("v")).where(
         "v is not null and vec_id is not null")
     rows = stored(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "topk-rows")
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
@@ -162,10 +198,10 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = K, slices: int = SLI
     order = Window.partitionBy("query_id", "list").orderBy(F.desc("part"), "c")
     seen = lists.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
     known = full_scores(seen.select("query_id", "c").distinct(), queries, vectors)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "low", "vec_id")
     cutoff = known.withColumn("rank", F.row_number().over(best)).where(
         F.col("rank") <= k).groupBy("query_id").agg(
-        F.when(F.count(F.lit(1)) == k, F.min("score")).alias("cutoff"))
+        F.when((F.count(F.lit(1)) == k) & ~F.max("low"), F.min("score")).alias("cutoff"))
     # Without k candidates there is no cutoff, and every candidate counts.
     asked = stored(queries.join(cutoff, "query_id", "left").withColumn(
         "cutoff", F.coalesce(F.col("cutoff").cast("double"), F.lit(float("-inf")))), "topk-cutoff")
@@ -175,4 +211,5 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = K, slices: int = SLI
     left = entries.groupBy("query_id", "c").agg(F.count(F.lit(1)).alias("n"))
     scored = full_scores(left.select("query_id", "c"), queries, vectors)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+        "query_id", "rank", "vec_id", F.when(~F.col("low"), F.col("score")).otherwise(
+            F.raise_error(F.lit("op2: a score does not fit a long")).cast("long")).alias("score"))
