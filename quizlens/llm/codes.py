@@ -179,6 +179,9 @@ class Runs:
         windows = starts_within(bounds, length)
         if not len(windows):
             return
+        if len(codes) >= 1 << int(ANCHOR_BITS):
+            raise ValueError(f"a text of {len(codes)} units is too long for anchors of "
+                             f"{ANCHOR_BITS} bits")
         places = np.arange(len(codes) - gram + 1)
         grams = Sums(codes, GRAMS).of(places, places + gram)
         key = (grams >> ANCHOR_BITS << ANCHOR_BITS) | places.astype(np.uint64)
