@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quizlens.llm import (chosen_path, length_histogram, mixing, secrets_ledger, seed_dedup,
-                          suffix_dedup, tiling, token_files, topk, toxicity)
+from quizlens.llm import (chosen_path, length_histogram, merkle, mixing, piece_encoding,
+                          secrets_ledger, seed_dedup, spelling, suffix_dedup, tiling,
+                          token_files, topk, toxicity)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,9 +59,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_ledger.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(merkle.manifest(table(spark, sf_dir, "documents")))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_encoding.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_mixing, op2_topk, op3_suffix_dedup, op4_tiling, op5_seed_dedup, op6_length_histogram,
-    op7_chosen_path, op8_token_files, op9_toxicity, op10_secrets)}
+    op7_chosen_path, op8_token_files, op9_toxicity, op10_secrets,
+    op11_merkle, op12_pieces, op13_spelling)}
 
 #: floor(256 * x) of sound vectors, all pairs of a query and another row.
 OP2_SQL = """

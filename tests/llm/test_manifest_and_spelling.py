@@ -1,0 +1,177 @@
+"""The Merkle manifest, SentencePiece ids and spelling variants."""
+
+import hashlib
+import random
+
+import duckdb
+import pytest
+from hypothesis import given, settings, strategies as st
+
+import __spark_entry__  # noqa: F401  (workers get the package with the task)
+import brute
+from conftest import SF_CHECK, SF_TINY
+from quizlens.llm import merkle, piece_encoding, queries, spelling
+
+PIECES = piece_encoding.PieceEncoder()
+ODD = [None, "", " ", "  a  b\n c\t▁x ", "日本語 テキスト🙂🙂", "é́ x\x00y", "a" * 3000, "▁", "﻿ b",
+       "<s> </s> <unk> <0x41>", "12 345,6", "\r\n\r\n  def f(x):\n        return x", "Ａﬁ ½"]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def stored_docs(sf_dir):
+    return duckdb.sql("select doc_id, source, lang, n_chars, text from "
+                      f"'{sf_dir}/documents.parquet'").fetchall()
+
+
+def frame_of(spark, docs):
+    """Rows of (doc_id, source, lang, n_chars, text) as a documents table."""
+    return spark.createDataFrame([(d, t, l, s, n) for d, s, l, n, t in docs], DOCS)
+
+
+def verified(frame, fan=16):
+    rows = merkle.verify(merkle.manifest(frame, fan)).collect()
+    return sorted(map(tuple, rows), key=str)
+
+
+def test_manifest_of_the_given_table(spark):
+    frame = queries.op11_merkle(spark, SF_CHECK)
+    assert frame.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root",
+                             "verified"]
+    want = brute.merkle_rows(stored_docs(SF_CHECK))
+    assert sorted(map(tuple, frame.collect()), key=str) == want
+    assert {v for *_, v in want} == {True, False}
+
+
+@pytest.mark.parametrize("fan", [2, 3, 16])
+def test_manifest_of_odd_rows(spark, fan):
+    docs = [(i, "hot", "en", i, f"Text {i}") for i in range(20)]
+    docs += [(1, None, None, None, None), (None, "x", "en", 2, "A"), (None, "x", "en", 2, "A"),
+             (5, "x", "en", 2, ""), (5, "x", "en", 2, "É Ü"), (7, "", "", 0, "Z" * 200_000),
+             (8, "é", "日本", 3, "日本")]
+    random.Random(1).shuffle(docs)
+    frame = frame_of(spark, docs)
+    for name in ("tree", "run", "slot", "n", "digest", "other", "place", "top", "_row"):
+        frame = frame.selectExpr("*", f"'u' as {name}")
+    assert verified(frame, fan) == brute.merkle_rows(docs, fan)
+
+
+def test_manifest_of_few_rows(spark):
+    assert verified(frame_of(spark, [])) == []
+    one = [(3, None, "en", 1, "x")]
+    assert verified(frame_of(spark, one)) == brute.merkle_rows(one)
+    assert verified(frame_of(spark, one))[0][4] == hashlib.sha256(b"").hexdigest()
+
+
+def test_levels_move_their_nodes_once(spark):
+    """One exchange for a level's nodes, which both sides of its join read."""
+    nodes = merkle.stored(spark.range(100).selectExpr(
+        "'a' as tree", "id div 16 as run", "cast(id % 16 as int) as slot", "100L as n",
+        "unhex(sha2(string(id), 256)) as digest"), "nodes")
+    plan = merkle.beside(nodes, 16)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(tree") <= 2 and "Exchange hashpartitioning(" in plan
+    assert all("other" not in line for line in plan.splitlines() if "Exchange hash" in line)
+
+
+def assert_library(texts):
+    want = PIECES.library.encode([t or "" for t in texts], add_eos=True)
+    assert [PIECES.encode(t or "")[0] for t in texts] == want
+    assert [PIECES.encode(t or "")[1] for t in texts] == [" ".join(map(str, w)) for w in want]
+
+
+def test_odd_texts_have_the_librarys_pieces():
+    assert_library(ODD)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" ▁aeinrst\n.0")),
+               max_size=80))
+def test_any_text_has_the_librarys_pieces(text):
+    assert_library([text])
+
+
+def test_long_units_go_through_the_table():
+    draw = random.Random(2)
+    assert_library(["".join(draw.choice("abcdé中文字") for _ in range(50_000)), "ing" * 30_000])
+
+
+def test_forgetting_units_changes_nothing(monkeypatch):
+    monkeypatch.setattr(piece_encoding, "KEPT_UNITS", 4)
+    assert_library(["one two three four five six seven", "seven six five one"] * 3)
+
+
+def test_last_tokens_are_unique():
+    """Exactly one token that ends at a prefix goes with the one before it."""
+    word = "▁unbelievably"
+    last = {0: ""}
+    for end in range(1, len(word) + 1):
+        fits = [word[start:end] for start in last if word[start:end] in PIECES.id_of
+                and PIECES.compatible(last[start], word[start:end])]
+        assert len(fits) == 1
+        last[end] = fits[0]
+
+
+def test_pairs_are_tested_as_merging_them_does():
+    draw, pieces = random.Random(3), sorted(PIECES.halves) + list("abcé中▁ ")
+    close = [p for p in pieces if set(p) <= set("▁abeinrst")]
+    for some in (pieces, close, [p for p in pieces if not p.strip("▁") or p in PIECES.odd]):
+        for _ in range(20_000):
+            left, right = draw.choice(some), draw.choice(some)
+            assert PIECES.compatible(left, right) == (
+                PIECES.merges(left + right)[0] == [left, right]), (left, right)
+
+
+def test_pieces_of_tables(spark):
+    docs = list(enumerate(ODD)) + [(None, "a b"), (3, "a b"), (3, "a b")]
+    docs += [(100 + d, t) for d, t in brute.documents(SF_TINY)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr(
+        "*", "'u' as ids", "'v' as n_tokens")
+    ids = PIECES.library.encode([t or "" for _, t in docs], add_eos=True)
+    texts = PIECES.library.decode(ids)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = [(d, len(i), sha(" ".join(map(str, i))), sha(t)) for (d, _), i, t in zip(docs, ids, texts)]
+    key = lambda row: str(tuple(row))
+    assert sorted(map(tuple, piece_encoding.digests(frame).collect()), key=key) == sorted(want, key=key)
+    encoded = piece_encoding.encode(frame)
+    assert sorted(([r.doc_id, r.ids] for r in encoded.collect()), key=str) == sorted(
+        ([d, i] for (d, _), i in zip(docs, ids)), key=str)
+    assert sorted(map(tuple, piece_encoding.decode(encoded).collect()), key=str) == sorted(
+        ((d, t) for (d, _), t in zip(docs, texts)), key=str)
+    assert piece_encoding.digests(frame.where("false")).collect() == []
+
+
+def spelled(frame):
+    return {r.word: (r.n, r.n_near, r.form, r.form_n, r.root) for r in frame.collect()}
+
+
+def test_spelling_of_the_given_table(spark):
+    frame = queries.op13_spelling(spark, SF_CHECK)
+    want = brute.spelling_rows(brute.documents(SF_CHECK))
+    got = spelled(frame)
+    assert got == want and frame.count() == len(want)
+    assert sum(form is not None for _, _, form, _, _ in want.values()) > 10
+
+
+def test_spelling_of_odd_rows(spark):
+    words = {"banana": 1200, "bananá": 100, "bananas": 200, "bananass": 30, "bananasss": 5,
+             "annana": 20, "banan": 90, "kitten": 5, "mitten": 5, "ÀÉÎÕÜÿ": 30, "àÉÎÕÜÿ": 5}
+    docs = [(None, None), (1, ""), (2, "--- 123")]
+    docs += [(i, f"{w},{w.upper() if w.isascii() else w}9") for i, w in enumerate(
+        w for w, n in words.items() for _ in range(n))]
+    docs += [(7, "a" * 100_000 + " kitten")] * 3
+    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr(
+        "*", "'u' as word", "'v' as n", "'w' as reduced")
+    got = spelled(spelling.variants(frame))
+    assert got == brute.spelling_rows(docs)
+    assert got["bananasss"][4] == "banana" and got["bananasss"][2] == "bananass"
+    assert spelled(spelling.variants(frame.where("false"))) == {}
+    assert spelled(spelling.variants(frame, symbols=2)) == got
+
+
+def test_reduced_neighbourhoods_are_whole():
+    want = {w for w in ("".join(p) for n in (2, 3, 4) for p in __import__("itertools").product(
+        "ab", repeat=n)) if len(w) != 3 and (any(w[:i] + w[i + 1:] == "aba" for i in range(len(w)))
+                                            or any("aba"[:i] + "aba"[i + 1:] == w for i in range(3)))
+            or len(w) == 3 and sum(x != y for x, y in zip(w, "aba")) <= 1}
+    assert spelling.neighbourhood("aba", 2) == want
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    assert len({spelling.symbol(x, 8) for x in letters}) == 8
