@@ -429,3 +429,13 @@ ORACLES = {
         f"""with {LABELLED}, t as (select algorithm, dataset, {_SCORES} from graded group by all)
         select *, row_number() over (order by algorithm, dataset) - 1 as index from t""",
 }
+ORACLES["append_once"] = ORACLES["roundtrip_answers"]
+ORACLES["answer_resumed"] = ORACLES["answer_stub"]
+ORACLES["predict_shapes"] = f"""with {IMAGES}, layer as (
+  select image_id, greatest(3 * width - 3 * height, 0)::double as wide,
+    greatest(4 * height - 4 * width, 0)::double as tall,
+    greatest(width + height - 1500, 0)::double as large from img)
+select image_id, case when image_id % 17 > 0 then wide end as wide,
+  case when image_id % 17 > 0 then tall end as tall,
+  case when image_id % 17 > 0 then large end as large,
+  case when image_id % 17 > 0 then wide + tall + large end as total from layer"""

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quizlens.contract import inputs as I
-from quizlens.functions import outcomes as O, text as T
+from quizlens.functions import outcomes as O, text as X
 from quizlens.functions.paths import base_name, image_id, source_class
 from quizlens.operators import (
     answering,
@@ -18,6 +19,8 @@ from quizlens.operators import (
     metrics,
     ordering,
     requests,
+    resuming,
+    tensors,
     tiles,
 )
 from quizlens.plans import analyse, ask
@@ -158,27 +161,27 @@ def parse_path(spark, sf):
 @query
 def strip_text(spark, sf):
     padded = F.concat(F.lit("\u00a0\u2003 "), F.col("text"), F.lit("\u3000\x1c\n"))
-    return I.turns(spark, sf).select("conv_id", "turn", T.strip_text(padded).alias("text"))
+    return I.turns(spark, sf).select("conv_id", "turn", X.strip_text(padded).alias("text"))
 
 
 @query
 def collapse_ws(spark, sf):
     spaced = F.replace(F.col("text"), F.lit(" a"), F.lit("\u2003\u00a0\x1ea"))
-    return I.table(spark, sf, "documents").select("doc_id", T.collapse_ws(spaced).alias("text"))
+    return I.table(spark, sf, "documents").select("doc_id", X.collapse_ws(spaced).alias("text"))
 
 
 @query
 def drop_newlines(spark, sf):
-    return I.turns(spark, sf).select("conv_id", "turn", T.drop_newlines(F.col("text")).alias("text"))
+    return I.turns(spark, sf).select("conv_id", "turn", X.drop_newlines(F.col("text")).alias("text"))
 
 
 @query
 def cut_at_marker(spark, sf):
     url = F.col("url")
     return I.table(spark, sf, "pages").select(
-        "page_id", T.cut_at_marker(url, "?").alias("address"),
-        base_name(T.cut_at_marker(T.cut_at_marker(url, "#"), "?")).alias("file"),
-        T.cut_at_marker(F.concat("html", F.lit("<|end_of_text|>"), url)).alias("html"))
+        "page_id", X.cut_at_marker(url, "?").alias("address"),
+        base_name(X.cut_at_marker(X.cut_at_marker(url, "#"), "?")).alias("file"),
+        X.cut_at_marker(F.concat("html", F.lit("<|end_of_text|>"), url)).alias("html"))
 
 
 @query
@@ -186,15 +189,15 @@ def remove_echo(spark, sf):
     text, role = F.col("text"), F.col("role")
     echoed = F.concat(F.lit("[INST] "), role, F.lit(" [/INST] "), text, F.lit(" "), role)
     return I.turns(spark, sf).select(
-        "conv_id", "turn", T.remove_echo(echoed, role).alias("no_echo"),
-        T.remove_wrapped_echo(echoed, role).alias("no_wrapped_echo"))
+        "conv_id", "turn", X.remove_echo(echoed, role).alias("no_echo"),
+        X.remove_wrapped_echo(echoed, role).alias("no_wrapped_echo"))
 
 
 @query
 def drop_prefix(spark, sf):
     rendered = F.length("text") % 20
     return I.turns(spark, sf).select(
-        "conv_id", "turn", T.drop_prefix(F.col("text"), rendered).alias("text"))
+        "conv_id", "turn", X.drop_prefix(F.col("text"), rendered).alias("text"))
 
 
 # --- requests, dialogues, answers ------------------------------------------------
@@ -239,6 +242,40 @@ def answer_stub(spark, sf):
     return answered.select("image_id", "model", "lang", "answer_1", "answer_2")
 
 
+@query
+def answer_resumed(spark, sf):
+    """A run over a third of the pictures, and one over all that asks only the rest."""
+    asked, ledger = _model_requests(spark, sf), new_path(spark, "ledger")
+    for part in (asked.where(F.col("image_id") % 3 == 0), asked):
+        # Pictures of one name are one picture to the ledger, so the key is in the path.
+        part = part.withColumn("path", F.concat("path", F.lit("?"), F.col("image_id")))
+        answered = resuming.answer_with_ledger(part, answering.make_plain_responder, ledger)
+    return answered.select("image_id", "model", "lang", "answer_1", "answer_2")
+
+
+def _make_shape_model():
+    """A plain layer and a sum, in whole numbers, so that any order of sums is exact."""
+    weights, shift = np.array([[3.0, -4.0, 1.0], [-3.0, 4.0, 1.0]]), np.array([0.0, 0.0, -1500.0])
+
+    def predict(sizes):
+        hidden = np.maximum(sizes @ weights + shift, 0.0)
+        return np.concatenate([hidden, hidden.sum(axis=1, keepdims=True)], axis=1)
+
+    return predict
+
+
+@query
+def predict_shapes(spark, sf):
+    """How wide, tall and large a picture is to a small numeric model."""
+    sizes = I.images(spark, sf).withColumn("size", F.when(
+        F.col("image_id") % 17 > 0, tensors.feature_tensor("width", "height")))
+    scored = tensors.add_prediction(
+        sizes, "scores", {"size": (2,)}, _make_shape_model, T.ArrayType(T.DoubleType()))
+    names = ("wide", "tall", "large", "total")
+    return scored.select("image_id", *[F.get("scores", F.lit(i)).alias(n)
+                                       for i, n in enumerate(names)])
+
+
 def _answers(spark, sf):
     """Answers with quotes, backslashes and outer blanks, as models give them."""
     pictures = _pictures(spark, sf)
@@ -374,22 +411,33 @@ def roundtrip_combined(spark, sf):
     return gr.read_combined(spark, path)
 
 
-@query
-def roundtrip_answers(spark, sf):
-    """Lines per model and language, and the answers that no line can hold."""
+def _appended(spark, sf, *runs):
+    """Answers appended once per run: lines per model and language, and the answers
+    that no line can hold."""
     path, side = new_path(spark, "answers"), new_path(spark, "unsafe")
     number = F.col("image_id")
     rows = _answers(spark, sf).withColumns({
         "id": F.col("id_text"), "model": I.model_of(number), "lang": F.when(number % 2 == 0, "ita").otherwise("eng"),
         "answer_1": F.when(number % 11 == 0, F.concat("answer_1", F.lit("|")))
         .when(number % 13 == 0, F.concat("answer_1", F.lit("\n"))).otherwise(F.col("answer_1"))})
-    for _ in range(2):
-        answers.append_answer_lines(rows, path, side=side)
+    for run in runs:
+        answers.append_answer_lines(rows, path, side=side, run=run)
     lines = answers.read_answers(spark, path).withColumn("reason", F.lit(None).cast("string"))
     unsafe = spark.read.schema(rows.schema.add("reason", "string")).parquet(side)
     return lines.unionByName(unsafe.select(lines.columns))
 
 
+@query
+def roundtrip_answers(spark, sf):
+    return _appended(spark, sf, None, None)
+
+
+@query
+def append_once(spark, sf):
+    """A run that is repeated adds its answers once; another run adds its own."""
+    return _appended(spark, sf, "monday", "monday", "tuesday", "monday")
+
+
 @query
 def append_answers(spark, sf):
     path = new_path(spark, "answers")

@@ -49,6 +49,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme, as Spark's default filesystem completes it.
+
+    Python tasks get it in this form: without a scheme they would take a shared path
+    for one on their own disk.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    filesystem = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return filesystem.makeQualified(hadoop).toString()
+
+
 _RUN_FOLDERS: list[str] = []
 
 

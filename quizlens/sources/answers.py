@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quizlens import schemas
 from quizlens.functions.text import record_line
+from quizlens.sources.once import append_once
 
 _FIELDS = schemas.ANSWERS.names
 
@@ -56,21 +59,26 @@ def answer_lines(answers: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def append_answer_lines(answers: DataFrame, path: str, strict: bool = True,
-                        side: str | None = None) -> None:
+                        side: str | None = None, run: str | None = None) -> None:
     """Append answers in the line format, in a folder per model and language if the
     answers have those columns. A second run adds them again.
 
     With ``side`` answers that no line can hold are appended there as Parquet,
-    with their ``reason``, and the others as lines: none is dropped.
+    with their ``reason``, and the others as lines: none is dropped. Each answer is
+    computed once and lands in exactly one of both. With ``run`` as well, the answers
+    of a run that was appended before are not added again.
     """
-    if side is not None:
-        reason = unsafe_field()
-        answers.withColumn("reason", reason).where("reason is not null").write.mode(
-            "append").parquet(side)
-        answers = answers.where(reason.isNull())
-    lines = answer_lines(answers, strict)
-    lines.write.mode("append").partitionBy(*[c for c in lines.columns if c != "value"]).option(
-        "lineSep", "\n").text(path)
+    if side is None:
+        if run is not None:
+            raise ValueError("a run needs a side table")
+        lines = answer_lines(answers, strict)
+        lines.write.mode("append").partitionBy(*[c for c in lines.columns if c != "value"]).option(
+            "lineSep", "\n").text(path)
+        return
+    rows = answers.withColumns({"_line": record_line(*[F.col(n) for n in _FIELDS]),
+                                "_reason": unsafe_field()})
+    append_once(rows, "_line", "_reason", path, side, run or uuid.uuid4().hex,
+                [name for name in ("model", "lang") if name in answers.columns])
 
 
 def append_answers(answers: DataFrame, path: str) -> None:
