@@ -439,3 +439,8 @@ select image_id, case when image_id % 17 > 0 then wide end as wide,
   case when image_id % 17 > 0 then tall end as tall,
   case when image_id % 17 > 0 then large end as large,
   case when image_id % 17 > 0 then wide + tall + large end as total from layer"""
+ORACLES["scan_ranges"] = ORACLES["scan_graded"]
+ORACLES["combine_unlike"] = f"""with {FILES} select * exclude (lang) replace (
+    case when id % 3 <> 1 then note end as note,
+    case when id % 3 <> 1 then score_1 end as score_1,
+    case when id % 3 <> 2 then description_2 end as description_2) from graded_file"""

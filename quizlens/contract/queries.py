@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from quizlens import schemas
 from quizlens.contract import inputs as I
 from quizlens.functions import outcomes as O, text as X
 from quizlens.functions.paths import base_name, image_id, source_class
@@ -25,7 +26,15 @@ from quizlens.operators import (
 )
 from quizlens.plans import analyse, ask
 from quizlens.session import new_path
-from quizlens.sources import answers, catalogue as cat, graded as gr, listing, tables
+from quizlens.sources import (
+    answers,
+    catalogue as cat,
+    graded as gr,
+    headers,
+    listing,
+    ranges,
+    tables,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -404,6 +413,29 @@ def combine_graded(spark, sf):
         "path", "model", "subject_1", "score_1", "note")
 
 
+@query
+def scan_ranges(spark, sf):
+    """Files with quoted line breaks, by small ranges of their bytes."""
+    folder = new_path(spark, "graded")
+    tables.write_graded(I.graded_file(spark, sf), folder)
+    scanned = ranges.read_graded_ranges(spark, folder, range_bytes=1 << 18)
+    return scanned.withColumn("score", gr.score_value(F.col("score_1")))
+
+
+@query
+def combine_unlike(spark, sf):
+    """Three kinds of files in one folder: all columns, fewer, and in another order."""
+    folder, rows = new_path(spark, "unlike"), I.graded_file(spark, sf).drop("lang")
+    number, names = F.col("id") % 3, {n: h for h, n in schemas.GRADED_HEADER.items()}
+    kinds = [rows.columns, [c for c in rows.columns if c not in ("note", "score_1")],
+             [c for c in reversed(rows.columns) if c != "description_2"]]
+    for at, kind in enumerate(kinds):
+        part = rows.where(number == at).select(*[F.col(c).alias(names[c]) for c in kind])
+        tables.write_table(part, f"{folder}/{at}", sep="\t")
+    return headers.read_unlike(spark, folder, schemas.GRADED_HEADER, schemas.GRADED, "\t", "*.csv",
+                               recursive=True).drop(headers.FILE)
+
+
 @query
 def roundtrip_combined(spark, sf):
     path = new_path(spark, "combined")

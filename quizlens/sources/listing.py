@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from urllib.parse import quote
 
-from pyarrow import fs
+from pyarrow import NativeFile, fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quizlens.functions.paths import base_name
@@ -44,12 +44,17 @@ def _with_prefix(listing: DataFrame, prefix: str | None) -> DataFrame:
     })
 
 
+def open_uri(uri: str, stream: bool = False) -> NativeFile:
+    """One file, opened in a task by its address: from front to back, or at any place."""
+    filesystem, path = fs.FileSystem.from_uri(quote(uri, safe="/:"))
+    return filesystem.open_input_stream(path) if stream else filesystem.open_input_file(path)
+
+
 def load_bytes(uri: str) -> bytes:
     """The content of one file, for a responder that opens pictures in its task.
 
     So the pictures go from storage to the task that asks about them, and never
     through a shuffle.
     """
-    filesystem, path = fs.FileSystem.from_uri(quote(uri, safe="/:"))
-    with filesystem.open_input_file(path) as file:
+    with open_uri(uri) as file:
         return file.read()
