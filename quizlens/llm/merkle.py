@@ -1,9 +1,9 @@
 """A Merkle manifest of a table: one root that changes with any row.
 
 The rows of each source are the leaves of a tree, in the order of doc_id. Every
-level is one equijoin of its nodes with themselves: a node asks for the nodes in
-the other slots of its run (with two slots that is its index XOR 1, otherwise
-its slot shifted by 1, 2, ...), and the nodes in slot zero emit their parents.
+level is one equijoin of its nodes with themselves: a node meets the nodes of its
+run whose slot is its own shifted by 1, 2, ... (with two slots that is its index
+XOR 1), and the nodes in slot zero emit their parents.
 The roots of the sources are the leaves of a tree above them. Proofs are put
 together downwards: what a level's nodes have beside them, and then the proof of
 their parent.
@@ -83,14 +83,18 @@ class Tree:
 
 
 def beside(nodes: DataFrame, fan: int, *carried: str) -> DataFrame:
-    """Every node with what the other slots of its run hold, in their order."""
+    """Every node with what the other slots of its run hold, in their order.
+
+    The siblings are the nodes of the same run at a shift of 1 to fan - 1. The keys are
+    tree and run alone, by which the nodes lie together: with the slot among them Spark
+    would deal out every pair anew.
+    """
     here = nodes.repartition("tree", "run")
-    asks = here.select("tree", "run", "slot", "n", "digest", *carried, F.explode(F.transform(
-        F.sequence(F.lit(1), F.lit(fan - 1)), lambda step: (F.col("slot") + step) % fan)
-    ).alias("other"))
-    shifted = here.select("tree", "run", F.col("slot").alias("other"),
-                          F.col("digest").alias("other_digest"))
-    met = asks.join(shifted, ["tree", "run", "other"], "left")
+    shifted = here.select(F.col("tree").alias("_tree"), F.col("run").alias("_run"),
+                          F.col("slot").alias("other"), F.col("digest").alias("other_digest"))
+    shift = F.pmod(F.col("other") - F.col("slot"), F.lit(fan))
+    met = here.join(shifted, (F.col("tree") == F.col("_tree")) & (F.col("run") == F.col("_run"))
+                    & shift.between(1, fan - 1), "left")
     return met.groupBy("tree", "run", "slot").agg(
         *[F.first(c).alias(c) for c in ("n", "digest", *carried)],
         F.array_sort(F.collect_list(F.when(F.col("other_digest").isNotNull(), F.struct(

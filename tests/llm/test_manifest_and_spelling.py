@@ -63,13 +63,20 @@ def test_manifest_of_few_rows(spark):
 
 
 def test_levels_move_their_nodes_once(spark):
-    """One exchange for a level's nodes, which both sides of its join read."""
-    nodes = merkle.stored(spark.range(100).selectExpr(
-        "'a' as tree", "id div 16 as run", "cast(id % 16 as int) as slot", "100L as n",
+    """One exchange for a level's nodes on either side of its join, and none after it."""
+    nodes = merkle.stored(spark.range(2000).selectExpr(
+        "'a' as tree", "id div 16 as run", "cast(id % 16 as int) as slot", "2000L as n",
         "unhex(sha2(string(id), 256)) as digest"), "nodes")
-    plan = merkle.beside(nodes, 16)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(tree") <= 2 and "Exchange hashpartitioning(" in plan
-    assert all("other" not in line for line in plan.splitlines() if "Exchange hash" in line)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        level = merkle.beside(nodes, 16)
+        assert {len(r.others) for r in level.collect()} == {15}
+        plan = level._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning(") <= 2
+    assert "ENSURE_REQUIREMENTS" not in plan
 
 
 def assert_library(texts):
