@@ -34,10 +34,10 @@ import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
-KEPT_UNITS = 400_000   # units, and pairs of tokens, remembered by a process
+KEPT_UNITS = 800_000   # remembered by a process
+KEPT_PAIRS = 400_000
 LONG_UNIT = 64         # longer units are not remembered
 SPACE = "▁"       # fixed value: stands for a blank in pieces
-_BITS = np.uint64(32)
 #: Texts whose ids tell apart models with another normalization.
 _PROBES = ("  A ﬁ x\t\nÅ  12 ", "▁a▁ ½Ω", " ", "　Ａ\u0000b")
 
@@ -60,14 +60,15 @@ class PieceEncoder:
         for piece in self.id_of:
             self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
-        inner = np.unique(np.array([ord(a) << 32 | ord(b) for piece in self.id_of
-                                    for a, b in zip(piece, piece[1:])], np.uint64))
-        # Most characters are among the first: a table answers for pairs of those.
-        self.inner, low = inner, 0x400
-        a, b = (inner >> _BITS).astype(np.int64), (inner & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        self.low_inner = np.zeros((low, low), bool)
-        few = (a < low) & (b < low)
-        self.low_inner[a[few], b[few]] = True
+        # Characters that pieces hold beside others have a number; which of them are
+        # neighbours in a piece is a table over these numbers.
+        pairs = {pair for piece in self.id_of for pair in zip(piece, piece[1:])}
+        letters = sorted({letter for pair in pairs for letter in pair})
+        self.number = np.zeros(sys.maxunicode + 1, np.uint16)
+        self.number[[ord(x) for x in letters]] = np.arange(1, len(letters) + 1)
+        self.inner = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        left, right = (self.number[[ord(x) for x in side]] for side in zip(*pairs))
+        self.inner[left, right] = True
         self.units: dict[str, tuple[list[int], str]] = {}
         self.older: dict[str, tuple[list[int], str]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -149,7 +150,7 @@ class PieceEncoder:
                     before = last[start] = unit[start - 1]
                 fits = pairs.get((before, token))
                 if fits is None:
-                    if len(pairs) > KEPT_UNITS:
+                    if len(pairs) > KEPT_PAIRS:
                         pairs.clear()
                     fits = pairs[before, token] = self.compatible(before, token)
                 if fits:
@@ -181,17 +182,8 @@ class PieceEncoder:
 
     def cut(self, text: str) -> list[str]:
         """The units of a text: it is cut where no piece has both neighbours side by side."""
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        a, b = codes[:-1], codes[1:]
-        low = len(self.low_inner)
-        small = (a < low) & (b < low)
-        together = self.low_inner[np.where(small, a, 0), np.where(small, b, 0)]
-        large = np.flatnonzero(~small)
-        if len(large):
-            keys = a[large].astype(np.uint64) << _BITS | b[large].astype(np.uint64)
-            at = np.minimum(np.searchsorted(self.inner, keys), len(self.inner) - 1)
-            together[large] = self.inner[at] == keys
-        ends = (np.flatnonzero(~together) + 1).tolist()
+        codes = self.number[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        ends = (np.flatnonzero(~self.inner[codes[:-1], codes[1:]]) + 1).tolist()
         return [text[i:j] for i, j in zip([0, *ends], [*ends, len(text)])]
 
     def encode(self, text: str) -> tuple[list[int], str]:
