@@ -444,3 +444,5 @@ ORACLES["combine_unlike"] = f"""with {FILES} select * exclude (lang) replace (
     case when id % 3 <> 1 then note end as note,
     case when id % 3 <> 1 then score_1 end as score_1,
     case when id % 3 <> 2 then description_2 end as description_2) from graded_file"""
+ORACLES["report_kept_up"] = ORACLES["accuracy_by_dataset"]
+ORACLES["scan_tree"] = ORACLES["scan_listing"]

@@ -24,7 +24,7 @@ from quizlens.operators import (
     tensors,
     tiles,
 )
-from quizlens.plans import analyse, ask
+from quizlens.plans import analyse, ask, keep_up
 from quizlens.session import new_path
 from quizlens.sources import (
     answers,
@@ -97,6 +97,22 @@ def report_tables(spark, sf):
     return gr.combine(long)
 
 
+@query
+def report_kept_up(spark, sf):
+    """Accuracy from a ledger of files that grew in two steps, a third of them replaced."""
+    folder, ledger = new_path(spark, "graded"), new_path(spark, "ledger")
+    rows, third = I.graded_file(spark, sf), F.col("id") % 3
+    enriched = lambda r: grading.add_flags(r).withColumns({
+        "algorithm": O.without_lang(F.col("model")), "picture": F.col("path")})
+    steps = [("a", rows.where(third == 0)), ("b", rows.where(third == 1).limit(0)),
+             ("b", rows.where(third == 1)), ("c", rows.where(third == 2))]
+    for name, part in steps:
+        tables.write_graded(part, f"{folder}/{name}")
+        keep_up.update(spark, folder, ledger, enriched=enriched)
+    cubes = keep_up.current_cubes(spark, folder, ledger).where("cube = 'model'")
+    return metrics.accuracy(grading.add_flags(cubes), weight="answers")
+
+
 # --- outcome predicates and labels ---------------------------------------------
 
 @query
@@ -388,6 +404,13 @@ def scan_listing(spark, sf):
     return files.groupBy(_folder_lang()).agg(F.sum("length").alias("bytes"))
 
 
+@query
+def scan_tree(spark, sf):
+    """The same files, listed by tasks."""
+    files = listing.list_tree(spark, _text_files(spark, sf), "*.txt")
+    return files.groupBy(_folder_lang()).agg(F.sum("length").alias("bytes"))
+
+
 @query
 def scan_bytes(spark, sf):
     files = listing.read_bytes(spark, _text_files(spark, sf), "*.txt", recursive=True)

@@ -43,11 +43,12 @@ def outcome_cube(data: DataFrame, keys: Sequence[str] = MODEL_KEYS) -> DataFrame
     return data.groupBy(*keys).agg(F.count(F.lit(1)).alias("answers"))
 
 
-def outcome_cubes(data: DataFrame) -> DataFrame:
+def outcome_cubes(data: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     """Answers by ``MODEL_KEYS`` and by ``PICTURE_KEYS`` from one pass, told apart by
-    ``cube``: 'model' or 'picture'. Keys of the other one are null."""
-    keys = list(dict.fromkeys(MODEL_KEYS + PICTURE_KEYS))
-    sets = [[F.col(k) for k in MODEL_KEYS], [F.col(k) for k in PICTURE_KEYS]]
+    ``cube``: 'model' or 'picture'. Keys of the other one are null. Both also have the
+    keys ``also``."""
+    keys = [*also, *dict.fromkeys(MODEL_KEYS + PICTURE_KEYS)]
+    sets = [[F.col(k) for k in (*also, *own)] for own in (MODEL_KEYS, PICTURE_KEYS)]
     return data.groupingSets(sets, *keys).agg(
         F.count(F.lit(1)).alias("answers"),
         F.when(F.grouping("picture") == 0, "picture").otherwise("model").alias("cube"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quizlens.functions.tiling import candidate_grids, closest_grid, ratio_distances
+from quizlens.functions.tiling import RatioIndex, candidate_grids, closest_grid, ratios_up_to
 from quizlens.operators.literals import literal_table
 from quizlens.values import MAX_TILES, MIN_TILES, TILE_SIZE
 
@@ -20,22 +21,21 @@ def plan_grids(images: DataFrame, min_tiles: int = MIN_TILES, max_tiles: int = M
                tile_size: int = TILE_SIZE) -> DataFrame:
     """Add the chosen grid, its target size and its number of tiles.
 
-    The candidates are literals in the expression, so the rows are neither
-    joined nor multiplied, and the plan has no shuffle.
+    The candidates are a few array literals, so the rows are neither joined nor
+    multiplied, and the plan has no shuffle; some thousand candidates make it no larger.
     """
     grids = candidate_grids(min_tiles, max_tiles)
+    index = RatioIndex.of(grids, tile_size)
     width, height = F.col("width"), F.col("height")
+    area = width.cast("bigint") * height.cast("bigint")
     chosen = (
         images.withColumn("_ratio", width.cast("double") / height.cast("double"))
-        .withColumn("_distances", ratio_distances(F.col("_ratio"), grids))
-        .withColumn("_nearest", F.array_min("_distances"))
-        .withColumn("grid_rank", closest_grid(
-            width, height, F.col("_distances"), F.col("_nearest"), grids, tile_size))
+        .withColumn("_upto", ratios_up_to(F.col("_ratio"), index))
+        .withColumn("grid_rank", closest_grid(area, F.col("_ratio"), F.col("_upto"), index))
     )
-    cols = F.array(*[F.lit(c) for c, _ in grids])
-    rows = F.array(*[F.lit(r) for _, r in grids])
+    cols, rows = (F.lit(np.array(side, np.int32)) for side in zip(*grids))
     return (
-        chosen.drop("_ratio", "_distances", "_nearest")
+        chosen.drop("_ratio", "_upto")
         .withColumns({"cols": F.get(cols, "grid_rank"), "rows": F.get(rows, "grid_rank")})
         .withColumns({
             "blocks": F.col("cols") * F.col("rows"),

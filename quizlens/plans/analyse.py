@@ -31,6 +31,12 @@ def report(enriched: DataFrame, names: Sequence[str] = ALL_NAMES, strict: bool =
     """
     cubes = outcome_cubes(enriched)
     cubes = stored(cubes, "cubes", folder_by=["cube"]) if store else cubes
+    return tables_of(cubes, names, strict, tags)
+
+
+def tables_of(cubes: DataFrame, names: Sequence[str] = ALL_NAMES, strict: bool = False,
+              tags: Mapping[str, str] = LANG_TAGS) -> dict[str, DataFrame]:
+    """All result tables from the counts of ``metrics.outcome_cubes``."""
     by_model = add_flags(cubes.where("cube = 'model'"))
     by_picture = cubes.where("cube = 'picture'")
     tables = {}

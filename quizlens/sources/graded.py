@@ -11,6 +11,9 @@ from quizlens import schemas
 from quizlens.values import LANG_TAGS
 
 LANGS = tuple(LANG_TAGS)
+#: What tells a file from another one, and from itself before it was replaced.
+FILE_KEYS = {"file": "_metadata.file_path", "file_size": "_metadata.file_size",
+             "file_time": "_metadata.file_modification_time"}
 _HEADER = T.StructType([
     T.StructField(header, schemas.GRADED[name].dataType)
     for header, name in schemas.GRADED_HEADER.items()
@@ -41,19 +44,31 @@ def delimited(spark: SparkSession, schema: T.StructType, sep: str, strict: bool,
     )
 
 
-def read_graded(spark: SparkSession, folder: str, langs: Sequence[str] = LANGS,
-                strict: bool = True, multi_line: bool = True) -> DataFrame:
+def graded_files(spark: SparkSession, folder: str, langs: Sequence[str] = LANGS) -> DataFrame:
+    """path, size and time of the graded files of these languages; no file is opened."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return listed.select(*FILE_KEYS.values()).toDF(*FILE_KEYS).where(
+        F.col("file").rlike(_pattern(langs)))
+
+
+def _pattern(langs: Sequence[str]) -> str:
+    return rf"({'|'.join(langs)})\.tsv"
+
+
+def read_graded(spark: SparkSession, folder: str | Sequence[str], langs: Sequence[str] = LANGS,
+                strict: bool = True, multi_line: bool = True, file_keys: bool = False) -> DataFrame:
     """All graded files of these languages in one scan, with a ``lang`` column.
 
-    A file whose header differs is an error. Files with missing columns can be
-    read on their own and joined by :func:`combine`.
+    In place of a folder the files themselves can be given. With ``file_keys`` every row
+    has the address, size and time of its file too. A file whose header differs is an
+    error; ``headers.read_unlike`` reads such files.
     """
-    raw = delimited(spark, _HEADER, "\t", strict, multi_line).csv(
-        [f"{folder}/*{lang}.tsv" for lang in langs])
-    pattern = f"({'|'.join(langs)})\\.tsv"
+    paths = [f"{folder}/*{lang}.tsv" for lang in langs] if isinstance(folder, str) else list(folder)
+    raw = delimited(spark, _HEADER, "\t", strict, multi_line).csv(paths)
     return raw.select(
         *[F.col(h).alias(n) for h, n in schemas.GRADED_HEADER.items()],
-        F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).alias("lang"),
+        F.regexp_extract(F.col("_metadata.file_path"), _pattern(langs), 1).alias("lang"),
+        *([F.col(c).alias(n) for n, c in FILE_KEYS.items()] if file_keys else []),
     )
 
 
