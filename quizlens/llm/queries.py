@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quizlens.llm import (chosen_path, length_histogram, merkle, mixing, piece_encoding,
                           secrets_ledger, seed_dedup, spelling, suffix_dedup, tiling,
                           token_files, topk, toxicity)
+from quizlens.llm.oracles import OP11_SQL, OP13_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -146,4 +147,5 @@ select doc_id, domain, nullif(lang, chr(0)) as lang, nullif(source, chr(0)) as s
 from placed where whole > 0 or upto <= rest
 """
 
-ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op2_topk": OP2_SQL}
+ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op2_topk": OP2_SQL,
+                           "op11_merkle": OP11_SQL, "op13_spelling": OP13_SQL}
