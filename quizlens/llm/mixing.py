@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quizlens.llm.windows import NO_ID
+from quizlens.llm.windows import NO_ID, free_names
 from quizlens.session import stored
 
 EPOCHS = 2       # times a document may be used at most
@@ -147,14 +147,16 @@ def mix(docs: DataFrame, budget: int | None = None, epochs: int = EPOCHS, seed:
 def draw(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs``, with all their columns, each as often as it takes part."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    d, t, l, s, copies, copy = names = free_names(docs, "_d", "_t", "_l", "_s", "_n", "_copy")
+    keys = names[:4]
     chosen = stored(mix(docs, **settings).select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("_d"), F.col("text_key").alias("_t"),
-        F.coalesce("lang", F.lit("\x00")).alias("_l"),
-        F.coalesce("source", F.lit("\x00")).alias("_s"), "copies").distinct(), "mix-chosen")
+        F.coalesce("doc_id", F.lit(NO_ID)).alias(d), F.col("text_key").alias(t),
+        F.coalesce("lang", F.lit("\x00")).alias(l),
+        F.coalesce("source", F.lit("\x00")).alias(s), F.col("copies").alias(copies)).distinct(),
+        "mix-chosen")
     keyed = docs.withColumns({
-        "_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
-        "_t": F.md5(text.cast("binary")), "_l": F.coalesce("lang", F.lit("\x00")),
-        "_s": F.coalesce("source", F.lit("\x00"))})
-    return keyed.join(chosen, ["_d", "_t", "_l", "_s"]).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
-        *docs.columns)
+        d: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
+        t: F.md5(text.cast("binary")), l: F.coalesce("lang", F.lit("\x00")),
+        s: F.coalesce("source", F.lit("\x00"))})
+    return keyed.join(chosen, keys).withColumn(
+        copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quizlens.llm import chosen_path, mixing, tiling, token_files, toxicity
-from quizlens.llm.windows import NO_ID
+from quizlens.llm.windows import NO_ID, free_names
 from quizlens.session import new_path, stored
 
 
@@ -16,8 +16,9 @@ def clean_text() -> Column:
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it learns from the stage's own input."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.with_score(docs, toxicity.train(docs, labels))
-    return scored.where(F.col("_score") < 0.5).drop("_score")
+    score, = free_names(docs, "_score")
+    scored = toxicity.with_score(docs, toxicity.train(docs, labels), score)
+    return scored.where(F.col(score) < 0.5).drop(score)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,19 +27,20 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of rows that are equal in doc_id and text, one stays.
     """
     found = chosen_path.near_duplicates(docs)
+    d, t = free_names(docs, "_d", "_t")
     kept = stored(found.where(
         F.col("doc_id").eqNullSafe(F.col("component_id"))
         & (F.col("text_key") == F.col("component_text_key"))).select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("_d"), F.col("text_key").alias("_t")).distinct(),
+        F.coalesce("doc_id", F.lit(NO_ID)).alias(d), F.col("text_key").alias(t)).distinct(),
         "stage-kept")
-    marked = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
-                               "_t": F.xxhash64(clean_text())})
-    rows = marked.join(kept, ["_d", "_t"], "left_semi")
-    repeated = stored(rows.groupBy("_d", "_t").count().where("count > 1").select("_d", "_t"),
+    marked = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
+                               t: F.xxhash64(clean_text())})
+    rows = marked.join(kept, [d, t], "left_semi")
+    repeated = stored(rows.groupBy(d, t).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(d, t),
                       "stage-repeated")
-    once = rows.join(repeated, ["_d", "_t"], "left_anti")
-    again = rows.join(repeated, ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"])
-    return once.unionByName(again).drop("_d", "_t")
+    once = rows.join(repeated, [d, t], "left_anti")
+    again = rows.join(repeated, [d, t], "left_semi").dropDuplicates([d, t])
+    return once.unionByName(again).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

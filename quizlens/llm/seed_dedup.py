@@ -7,9 +7,8 @@ equal content are extended to their full width. Where they differ, the repeat
 ends inside the run, and the extension goes window by window. Windows that meet
 again, side by side, are the maximal repeats of at least ``length`` words.
 
-Null and empty texts have no words. Repeated rows are copies like any other;
-those that repeat doc_id and text have one position, so that with ``keep_first``
-each of them keeps what the earliest copy keeps.
+Null and empty texts have no words. Repeated rows are copies like any other; with
+``keep_first`` one row of those that repeat doc_id and text counts as the first.
 Extra columns are ignored.
 """
 
@@ -45,7 +44,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     n_words, n_removed, n_repeats (maximal removed runs), kept_sha256 and, with
     ``with_text``, kept (words joined by one blank).
     """
-    docs = windows.with_keys(docs)
+    docs, copies = windows.distinct_rows(windows.with_keys(docs))
     spans = maximal_repeats(docs, length, gram)
     if keep_first:
         spans = spans.where("later")
@@ -76,4 +75,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
         return columns
 
     return windows.covered(docs, "words", spans, length,
-                           schema + ", kept string" if with_text else schema, result)
+                           schema + ", kept string" if with_text else schema, result, copies,
+                           keep_first)

@@ -12,9 +12,8 @@ first position (a minimum), and ``later`` says that there is one.
 Neighbouring suffixes that stay together in that order are ordered as one row
 (``windows.py``); text whose winnowed anchor is unique never gets that far.
 
-Nulls and empty texts have no bytes. Repeated rows are copies like any other;
-those that repeat doc_id and text have one position, so that with ``keep_first``
-each of them keeps what the earliest copy keeps.
+Nulls and empty texts have no bytes. Repeated rows are copies like any other; with
+``keep_first`` one row of those that repeat doc_id and text counts as the first.
 Documents shorter than ``length`` keep everything. Extra columns are ignored.
 """
 
@@ -67,7 +66,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and,
     with ``with_text``, kept (bytes: a cut can fall inside a character).
     """
-    docs = windows.with_keys(docs)
+    docs, copies = windows.distinct_rows(windows.with_keys(docs))
     spans = previous_factors(docs, length, gram, block)
     if keep_first:
         spans = spans.where("later")
@@ -89,4 +88,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
         return [*columns, pa.array(kept, pa.binary())] if with_text else columns
 
     return windows.covered(docs, "bytes", spans, length,
-                           schema + ", kept binary" if with_text else schema, result)
+                           schema + ", kept binary" if with_text else schema, result, copies,
+                           keep_first)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quizlens.llm.codes import GRAMS, PUNCTUATION, CodeSet, Sums, Words, pieces
 from quizlens.llm.sending import received, sent
-from quizlens.llm.windows import NO_ID, as_batch, column_of, with_keys
+from quizlens.llm.windows import NO_ID, as_batch, column_of, free_names, with_keys
 from quizlens.session import stored
 
 TILE = 5
@@ -203,7 +203,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     bad = stored(contaminated(keyed, benchmark, **settings).select("d", "t").distinct(),
                  "tiles-bad")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"),
-                                                F.lit(NO_ID)), "_t": F.xxhash64(text)})
-    bad = bad.select(F.col("d").alias("_d"), F.col("t").alias("_t"))
-    return marked.join(bad, ["_d", "_t"], "left_anti").drop("_d", "_t")
+    d, t = free_names(docs, "_d", "_t")
+    marked = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
+                               t: F.xxhash64(text)})
+    bad = bad.select(F.col("d").alias(d), F.col("t").alias(t))
+    return marked.join(bad, [d, t], "left_anti").select(*docs.columns)

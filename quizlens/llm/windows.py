@@ -45,6 +45,32 @@ def with_keys(docs: DataFrame) -> DataFrame:
         "doc_id", "text")
 
 
+def distinct_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """One row of ``with_keys`` documents per key, and (d, t, copies) of those that rows
+    repeat; None without any. What repeats is equal in all that matters, so it takes
+    part once, however often it is there."""
+    copies = stored(docs.groupBy("d", "t").agg(F.count(F.lit(1)).alias("copies")).where(
+        "copies > 1"), "repeated-rows")
+    if copies.isEmpty():
+        return docs, None
+    keys = copies.select("d", "t")
+    return docs.join(keys, ["d", "t"], "left_anti").unionByName(
+        docs.join(keys, ["d", "t"], "left_semi").dropDuplicates(["d", "t"])), copies
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as keep it apart from the
+    columns of ``docs``: working columns never touch those that a user brings."""
+    taken = {column.lower() for column in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def as_batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
     names = [part.split() for part in schema.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(),
@@ -204,17 +230,21 @@ def blocks(parts: DataFrame, unit: str, length: int, size: int) -> DataFrame:
 
 
 def covered(docs: DataFrame, unit: str, spans: DataFrame, length: int, schema: str,
-            result: Callable) -> DataFrame:
+            result: Callable, copies: DataFrame | None = None, keep_first: bool = False
+            ) -> DataFrame:
     """Apply ``result`` to pieces of documents and the units that ``spans`` windows cover.
 
-    ``result(data, offsets, words, inside)`` gets one boolean per unit and returns
-    the columns of ``schema`` after doc_id.
+    ``docs``, ``spans`` and ``copies`` are of ``distinct_rows``. All windows of a row that
+    is repeated also start elsewhere, so all are covered in each of its copies, or with
+    ``keep_first`` in all copies but one. ``result(data, offsets, words, inside)`` gets
+    one boolean per unit and returns the columns of ``schema`` after doc_id.
     """
     per_doc = spans.groupBy("d", "t").agg(F.collect_list(
         F.struct("first", "count", F.lit(0).alias("anchor"))).alias("runs"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            whole = column_of(batch, "whole")
             for low, high, data, offsets in pieces(unpacked(batch.column("packed"))):
                 words = Words(data, offsets) if unit == "words" else None
                 bounds = words.bounds if words else offsets
@@ -222,14 +252,22 @@ def covered(docs: DataFrame, unit: str, spans: DataFrame, length: int, schema: s
                 change = np.zeros(bounds[-1] + 1, np.int32)
                 np.add.at(change, bounds[row] + first, 1)
                 np.add.at(change, bounds[row] + first + count + length - 1, -1)
+                full = np.flatnonzero(whole[low:high] & (np.diff(bounds) >= length))
+                np.add.at(change, bounds[full], 1)
+                np.add.at(change, bounds[full + 1], -1)
                 inside = np.cumsum(change)[:-1] > 0
                 columns = result(data, offsets, words, inside)
                 yield as_batch(f"doc_id long, {schema}",
                                batch.column("doc_id").slice(low, high - low), *columns)
 
     empty = F.array().cast("array<struct<first:int,count:int,anchor:int>>")
-    return packed(docs).join(per_doc, ["d", "t"], "left").select(
-        "doc_id", "packed", F.coalesce("runs", empty).alias("runs")
-    ).mapInArrow(emit, f"doc_id long, {schema}")
-
-
+    rows = packed(docs).join(per_doc, ["d", "t"], "left").select(
+        "d", "t", "doc_id", "packed", F.coalesce("runs", empty).alias("runs"))
+    if copies is None:
+        rows = rows.withColumn("whole", F.lit(False))
+    else:
+        each = F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1).cast("long")))
+        rows = rows.join(copies, ["d", "t"], "left").withColumn("copy", F.explode(each)).withColumn(
+            "whole", F.col("copy") > 1 if keep_first else F.col("copies").isNotNull())
+    return rows.select("doc_id", "packed", "runs", "whole").mapInArrow(
+        emit, f"doc_id long, {schema}")

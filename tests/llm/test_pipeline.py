@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
@@ -79,3 +80,24 @@ def test_odd_rows_pass_all_stages(spark, tmp_path):
         some.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
         out = corpus_pipeline.run(spark, str(tmp_path))
         assert {r.doc_id for r in out.collect()} <= {None, 1, 2}
+
+
+CLASHING = ("_t", "_d", "_l", "_s", "_n", "_copy", "copies", "_score", "_text", "d", "t", "x",
+            "node", "root", "score", "words", "rows", "granted", "_C0")
+
+
+@pytest.mark.parametrize("at", range(4))
+def test_columns_of_the_user_stay_as_they_are(spark, at):
+    """Columns with the names of working columns, nulls, empty texts and repeated rows."""
+    docs = spark.read.parquet(f"{SF_TINY}/documents.parquet").limit(60)
+    odd = docs.limit(1).selectExpr(*[f"cast(null as {k}) as {n}" for n, k in docs.dtypes])
+    docs = docs.unionByName(docs.limit(3)).unionByName(odd).unionByName(
+        odd.withColumn("text", F.lit("")))
+    marked = docs.selectExpr("*", *[f"concat('{c}', coalesce(doc_id, 0)) as {c}" for c in CLASHING])
+    name, stage = corpus_pipeline.STAGES[at]
+    plain = sorted(map(str, stage(spark, docs, SF_TINY).collect()))
+    after = stage(spark, marked, SF_TINY)
+    assert after.columns == marked.columns
+    assert all(r[c] == f"{c}{r.doc_id or 0}" for r in after.collect() for c in CLASHING)
+    assert sorted(map(str, after.select(*docs.columns).collect())) == plain
+    assert stage(spark, marked.where("false"), SF_TINY).collect() == []

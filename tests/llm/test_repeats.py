@@ -88,3 +88,13 @@ def test_repeated_rows_null_ids_and_no_rows(spark, remove):
     assert sorted((r[1], r[2]) for r in got if r[1] > 12) == [(got_n, got_n) for got_n in
                                                               [max(r[1] for r in got)] * 3]
     assert remove(frame.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("remove", [suffix_dedup.remove_repeats, seed_dedup.remove_repeats])
+def test_one_of_repeated_rows_is_the_first(spark, remove):
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(2, long)] * 4 + [(3, long), (1, "w0 w1"), (1, "w0 w1"), (5, None), (5, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r[0], r[1], r[2]) for r in remove(frame, keep_first=True).collect())
+    n, short = max(r[1] for r in got), min(r[1] for r in got if r[0] == 1)
+    assert got == [(1, short, 0)] * 2 + [(2, n, 0)] + [(2, n, n)] * 3 + [(3, n, n)] + [(5, 0, 0)] * 2
