@@ -36,11 +36,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from quizlens.llm.codes import pieces
 from quizlens.llm.encoding import PIECE_BYTES, TOKENIZER, encoder_of
 from quizlens.llm.windows import NO_ID, as_batch, column_of, with_keys
-from quizlens.session import new_path
+from quizlens.session import new_path, qualified
 
 END_ID = 1
 FRAME_IDS = 1 << 16
 LEVEL = 3
+TASK_IDS, MOST_TASKS = 1 << 23, 100_000  # ids that a reading task gets on average
 # Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x80
 
@@ -103,7 +104,7 @@ class FrameReader:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """Write the ids of all texts below ``path``; returns the stored manifest."""
     spark = docs.sparkSession
-    where = path if "://" in path or path.startswith(("/", "file:")) else f"file://{path}"
+    where = qualified(spark, path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, rows, waiting, count = encoder_of(tokenizer), [], [], 0
@@ -218,7 +219,11 @@ def read_tokens(manifest: DataFrame, wanted: list[int] | None = None,
                     [named, pa.array(start + begin[keep]), pa.array(size[keep]), last],
                     names=[part.split()[0] for part in schema.split(", ")])
 
-    spread = frames.repartition("path", F.expr("frame div 32")).sortWithinPartitions(
+    # A manifest row is tiny and stands for a frame of ids, so the number of tasks
+    # follows from the ids; by the bytes of the rows Spark would make it one.
+    ids = manifest.agg(F.sum("n_ids")).first()[0] or 0
+    tasks = min(-(-ids // TASK_IDS) or 1, MOST_TASKS)
+    spread = frames.repartition(tasks, "path", F.expr("frame div 32")).sortWithinPartitions(
         "path", "frame")
     return spread.select("path", "frame", "start").mapInArrow(read, schema)
 

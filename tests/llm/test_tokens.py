@@ -75,7 +75,7 @@ def test_frames_are_independent_and_checked(spark, tmp_path, monkeypatch):
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in got} == brute.token_rows(docs)
     rows = [r for r in manifest.collect() if r.n_docs]
     assert len(rows) > 10 and all(r.n_ids <= 10 or r.n_docs == 1 for r in rows)
-    path = next(r.path for r in rows if r.frame > 1).removeprefix("file://")
+    path = next(r.path for r in rows if r.frame > 1).removeprefix("file:")
     reader = token_files.FrameReader(path)
     raw = bytearray(open(path, "rb").read())
     raw[reader.start[1] + 9] ^= 0xFF
@@ -116,3 +116,15 @@ def test_histogram_answers_every_limit(spark):
         assert r.n_tokens == min(n for n in lengths if (lengths <= n).mean() >= r["quantile"])
     empty = length_histogram.limits(hist.limit(0))
     assert empty.collect() == [] and length_histogram.at_limits(empty, asked).collect() == []
+
+
+def test_reading_has_as_many_tasks_as_the_ids_need(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "TASK_IDS", 20_000)
+    frame = spark.read.parquet(f"{SF_TINY}/documents.parquet")
+    monkeypatch.setattr(token_files, "FRAME_IDS", 500)
+    manifest = token_files.write_tokens(frame, str(tmp_path / "t"))
+    ids = sum(r.n_ids for r in manifest.collect())
+    digests = token_files.read_tokens(manifest, digest=True)
+    assert digests.rdd.getNumPartitions() == -(-ids // 20_000) > 4
+    assert digests.count() == frame.count()
+    assert {r.path.split("/")[0] for r in manifest.select("path").distinct().collect()} == {"file:"}
