@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quizlens.llm.codes import pieces
 from quizlens.llm.encoding import PIECE_BYTES, TOKENIZER, encoder_of
 from quizlens.llm.windows import as_batch
+from quizlens.session import stored
 
 QUANTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
@@ -49,6 +50,7 @@ def limits(hist: DataFrame) -> DataFrame:
     documents when each is cut at the limit) and lost_tokens. Between two rows
     truncated_tokens is linear: it grows by docs_over for each token more.
     """
+    hist = stored(hist, "lengths")  # read twice below; the texts are encoded once
     # Lengths are grouped by bits, so that no window sees more than 4096 rows:
     # sums over the groups first, then within each group.
     group = F.shiftright("n_tokens", 12)
@@ -98,3 +100,11 @@ def quantiles(table: DataFrame, wanted: Sequence[float] = QUANTILES) -> DataFram
     share = F.col("docs_within") / (F.col("docs_within") + F.col("docs_over"))
     return table.select(asked.alias("quantile"), "n_tokens", share.alias("share")).where(
         "share >= quantile").groupBy("quantile").agg(F.min("n_tokens").alias("n_tokens"))
+
+
+def with_quantiles(table: DataFrame, wanted: Sequence[float] = QUANTILES) -> DataFrame:
+    """``limits`` with ``quantiles``: those of ``wanted`` that a length is the answer to."""
+    all_docs = F.col("docs_within") + F.col("docs_over")
+    upto, before = F.col("docs_within") / all_docs, (F.col("docs_within") - F.col("n_docs")) / all_docs
+    return table.withColumn("quantiles", F.filter(
+        F.array(*[F.lit(float(w)) for w in wanted]), lambda q: (q <= upto) & (q > before)))

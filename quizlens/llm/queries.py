@@ -39,7 +39,8 @@ def op5_seed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return length_histogram.limits(length_histogram.histogram(table(spark, sf_dir, "documents")))
+    return length_histogram.with_quantiles(
+        length_histogram.limits(length_histogram.histogram(table(spark, sf_dir, "documents"))))
 
 
 def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
