@@ -30,6 +30,7 @@ from quizlens.session import stored
 LEAST_LETTERS, LEAST_COUNT, FACTOR, DELETE_EVERY = 6, 5, 5, 199
 
 SYMBOLS = 8
+TASK_WORDS = 20_000   # whose neighbourhoods a task generates
 KEPT_WORDS = 200_000  # counted by a task before it hands them on
 _KEY = "reduced string, word string, n long"
 
@@ -121,7 +122,9 @@ def near_words(vocabulary: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     """(word, n, near, near_n): every word with every word one edit from it."""
     other = reduced(vocabulary, symbols).select(
         "reduced", F.col("word").alias("near"), F.col("n").alias("near_n"))
-    met = reduced(vocabulary, symbols, edits=True).join(other, "reduced")
+    # A word becomes more than a hundred rows: by its bytes Spark would see few tasks.
+    tasks = -(-vocabulary.count() // TASK_WORDS) or 1
+    met = reduced(vocabulary.repartition(tasks), symbols, edits=True).join(other, "reduced")
     return met.where(F.levenshtein("word", "near", 1) == 1).drop("reduced")
 
 
