@@ -69,8 +69,9 @@ def read_unlike(spark: SparkSession, folder: str, columns: Mapping[str, str], sc
     otherwise such columns are left out. Without files the result is empty.
     """
     files = list_files(spark, folder, pattern, recursive=recursive)
-    frames = [spark.createDataFrame([], T.StructType([*schema.fields, T.StructField(
-        FILE, T.StringType())]))]
+    columns_of_all = [*schema.fields, T.StructField(FILE, T.StringType())]
+    frames = [spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name)
+                                      for f in columns_of_all])]
     for header, paths in header_groups(files, sep).items():
         unknown = [name for name in header if name not in columns]
         if len(set(header)) < len(header) or (strict and unknown):
