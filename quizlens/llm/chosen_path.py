@@ -319,8 +319,8 @@ def rest(start: DataFrame, sets: DataFrame, texts: DataFrame, roots: DataFrame
     """Alike pairs (u, v) of different roots among documents that share a node of ``start``.
 
     Nothing is left out: every pair that can be linked shares a node of
-    ``prefixes``. In a node only pairs of different roots matter, so those of the
-    most frequent root never meet each other, and large nodes are dealt to cells.
+    ``prefixes``. In a node only pairs of different roots matter. Large nodes that hold
+    much the same documents are put together, and the union is compared once, in cells.
     """
     held = stored(start.join(roots, "x", "left")
                   .select("node", "x", F.coalesce("root", "x").alias("root")), "path-held")
@@ -331,25 +331,51 @@ def rest(start: DataFrame, sets: DataFrame, texts: DataFrame, roots: DataFrame
         return None
     hot_texts = stored(texts.join(hot, "x").dropDuplicates(["x"]), "path-hot-texts")
     rows = stored(prefixes(hot_texts), "path-prefixes")
+    small, large = by_size(rows)
+    # Shingles of one template are in much the same documents. Nodes are put together by
+    # the smallest hash of their members, which two nodes share as often as the share of
+    # members that they share: a pair meets there once, not at every shingle it has.
+    unions = stored(large.groupBy("label", "x", "root").agg(
+        F.max("n").alias("n"), F.max("left").alias("left")).withColumnRenamed("label", "node"),
+        "path-unions")
+    whole, cut = by_size(unions)
+    dealt = small.unionByName(whole).unionByName(cells(cut.drop("label")))
+    return alike_in_nodes(dealt.join(sets.select("x", "sketch"), "x"), all_pairs=True)
+
+
+def by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of nodes with several roots: of up to BLOCK documents, and of more, those
+    with ``label``, the smallest hash of the node's documents."""
+    kinds = rows.groupBy("node", "root").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("x")).alias("label"))
+    kinds = stored(kinds.groupBy("node").agg(
+        F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.min("label").alias("label"))
+        .where("kinds > 1").drop("kinds"), "path-kinds")
+    small = rows.join(kinds.where(F.col("total") <= BLOCK).select("node"), "node", "left_semi")
+    return small, rows.join(kinds.where(F.col("total") > BLOCK).select("node", "label"), "node")
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """``rows`` of nodes of more than BLOCK documents, dealt to cells of two blocks.
+
+    Documents of the most frequent root of a node meet all others, and not each other.
+    """
     kinds = rows.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n"))
     kinds = stored(kinds.groupBy("node").agg(
         F.sum("n").alias("total"), F.max("n").alias("most"),
-        F.max_by("root", F.struct("n", "root")).alias("lead"), F.count(F.lit(1)).alias("kinds"))
-        .where("kinds > 1").drop("kinds"), "path-kinds")
+        F.max_by("root", F.struct("n", "root")).alias("lead")), "path-cells")
     parts = lambda n: F.ceil(n / BLOCK).cast("int")
     leads, others = parts(F.col("most")), parts(F.col("total") - F.col("most"))
     block = lambda of: F.pmod(F.xxhash64("x"), of).cast("int")
     cell = lambda kind, i, j: F.xxhash64("node", F.lit(kind), i, j)
     upto = lambda n: F.sequence(F.lit(0), n - 1)
-    cells = F.when(F.col("total") <= BLOCK, F.array("node")).when(
+    places = F.when(
         F.col("root") == F.col("lead"),
         F.transform(upto(others), lambda i: cell(1, i, block(leads)))).otherwise(F.concat(
             F.transform(upto(others), lambda j: cell(0, F.least(block(others), j),
                                                      F.greatest(block(others), j))),
             F.transform(upto(leads), lambda j: cell(1, block(others), j))))
-    dealt = rows.join(kinds, "node").select(F.explode(cells).alias("node"), "x", "root", "n",
-                                            "left")
-    return alike_in_nodes(dealt.join(sets.select("x", "sketch"), "x"), all_pairs=True)
+    return rows.join(kinds, "node").select(F.explode(places).alias("node"), "x", "root", "n", "left")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
