@@ -45,6 +45,7 @@ ROW_BITS = 12
 #: Shingles are ordered by counts in so many buckets; pairs in a node of ``rest``
 #: with more than BLOCK documents are compared in cells of two blocks.
 BUCKET_BITS = 20
+PAIR_BITS = 18
 BLOCK = 256
 
 _SIGNATURE = "d long, t long, n long, s1 long, s2 long, signature binary, sketch binary"
@@ -397,7 +398,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     good[i] = both and 100 * both >= PERCENT * (len(a) + len(b) - both)
                 yield part.select(["u", "v"]).filter(pa.array(good))
 
-    texts = docs.select("x", "text")
+    # Most documents are in no pair: their texts are not moved. The filter is as many
+    # numbers as there are buckets at most, however many pairs there are.
+    bucket = lambda x: F.pmod(F.xxhash64(x), F.lit(1 << PAIR_BITS)).cast("int")
+    used = pairs.select(F.explode(F.array(bucket("u"), bucket("v"))).alias("bucket")).distinct()
+    texts = docs.select("x", "text", bucket("x").alias("bucket")).join(
+        F.broadcast(used), "bucket", "left_semi").drop("bucket")
     with_v = pairs.join(texts.select(F.col("x").alias("v"), F.col("text").alias("other")), "v")
     with_both = with_v.join(texts.select(F.col("x").alias("u"), F.col("text").alias("one")), "u")
     kind = "struct<d:bigint,t:bigint>"
