@@ -12,11 +12,15 @@ all quotes before it. So the files are cut into ranges of bytes, and
 
 A doubled quote inside quotes changes nothing about that. A quote that stands in a
 field without quotes around it does: such files are no quoted files.
+
+Neighbouring ranges are dealt to tasks by their bytes, so small ranges make no small tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,28 +32,49 @@ from quizlens.sources.graded import LANGS
 from quizlens.sources.listing import list_files, open_uri
 
 RANGE_BYTES = 32 << 20
+TASK_BYTES = 32 << 20
+OPEN_BYTES = 4 << 20  # what opening a file costs, in bytes read
+TASKS_PER_CORE = 4
+FIRST_AHEAD_BYTES = 16 << 10
 AHEAD_BYTES = 1 << 20
 MOST_TASKS = 100_000
 _QUOTE, _BREAK, _RETURN = b'"\n\r'
 _BOM = b"\xef\xbb\xbf"
 
 
+def dealt(ranges: DataFrame) -> DataFrame:
+    """The ranges in tasks of about ``TASK_BYTES``, neighbours together, or smaller ones
+    while all cores can have ``TASKS_PER_CORE``."""
+    n, size, files = ranges.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.col("last") - F.col("first")), F.lit(0)),
+        F.count(F.when(F.col("first") == 0, True))).first()
+    cores = ranges.sparkSession.sparkContext.defaultParallelism
+    tasks = min(n, MOST_TASKS, max(TASKS_PER_CORE * cores, -(-(size + files * OPEN_BYTES) // TASK_BYTES)))
+    return ranges.repartitionByRange(tasks or 1, "path", "first")
+
+
+def opened(rows: Iterable[dict]) -> Iterator[tuple[dict, pa.NativeFile]]:
+    """Each range with its file, which stays open from one range to the next."""
+    for path, ranges in groupby(rows, itemgetter("path")):
+        with open_uri(path) as file:
+            for row in ranges:
+                yield row, file
+
+
 def file_ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """path, first, last (not included) and inside: whether ``first`` stands in quotes."""
     cut = files.where("length > 0").select("path", F.explode(F.sequence(
         F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("first"),
         "length").select("path", "first", F.least("length", F.col("first") + range_bytes).alias("last"))
-    cut = stored(cut, "ranges")
-    cut = cut.repartition(min(cut.count(), MOST_TASKS) or 1, "path", "first")
+    cut = dealt(stored(cut, "ranges"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             odd = []
-            for row in batch.to_pylist():
+            for row, file in opened(batch.to_pylist()):
                 n = 0
-                with open_uri(row["path"]) as file:
-                    for at in range(row["first"], row["last"], 8 << 20):
-                        n += file.read_at(min(8 << 20, row["last"] - at), at).count(b'"')
+                for at in range(row["first"], row["last"], 8 << 20):
+                    n += file.read_at(min(8 << 20, row["last"] - at), at).count(b'"')
                 odd.append(n % 2)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(odd, pa.int32())], names=[*batch.schema.names, "odd"])
@@ -66,7 +91,7 @@ def records_of(file: pa.NativeFile, size: int, first: int, last: int, inside: bo
     data = file.read_at(last - first, first)
     # A range begins with a record if the byte before it is a break outside quotes.
     starts_here = first == 0 or (not inside and file.read_at(1, first - 1) == b"\n")
-    state, scanned, ends = int(inside), 0, np.zeros(0, np.int64)
+    state, scanned, ends, ahead = int(inside), 0, np.zeros(0, np.int64), FIRST_AHEAD_BYTES
     while True:
         part = np.frombuffer(data, np.uint8, offset=scanned)
         quotes = np.cumsum(part == _QUOTE, dtype=np.uint8)
@@ -77,7 +102,8 @@ def records_of(file: pa.NativeFile, size: int, first: int, last: int, inside: bo
         # The record that ends here began before the end of the range, or none is left.
         if first + scanned >= size or (len(ends) and first + int(ends[-1]) + 1 >= last):
             break
-        data += file.read_at(min(AHEAD_BYTES, size - first - scanned), first + scanned)
+        data += file.read_at(min(ahead, size - first - scanned), first + scanned)
+        ahead = min(4 * ahead, AHEAD_BYTES)
     if first + scanned >= size and (not len(ends) or ends[-1] != scanned - 1):
         ends = np.append(ends, scanned)  # the last record of a file without a last break
     bounds = ends + 1
@@ -96,28 +122,26 @@ def records(ranges: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                with open_uri(row["path"]) as file:
-                    at, texts = [], []
-                    for place, record in records_of(file, file.size(), row["first"], row["last"],
-                                                    row["inside"]):
-                        text = (record.removeprefix(_BOM) if place == 0 else record).decode(
-                            "utf-8", "replace")
-                        if text:
-                            at.append(place)
-                            texts.append(text)
-                        if len(at) == 10_000:
-                            yield batch_of(row["path"], at, texts)
-                            at, texts = [], []
-                    yield batch_of(row["path"], at, texts)
+            for row, file in opened(batch.to_pylist()):
+                at, texts = [], []
+                for place, record in records_of(file, file.size(), row["first"], row["last"],
+                                                row["inside"]):
+                    text = (record.removeprefix(_BOM) if place == 0 else record).decode(
+                        "utf-8", "replace")
+                    if text:
+                        at.append(place)
+                        texts.append(text)
+                    if len(at) == 10_000:
+                        yield batch_of(row["path"], at, texts)
+                        at, texts = [], []
+                yield batch_of(row["path"], at, texts)
 
     def batch_of(path: str, at: list[int], texts: list[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [pa.array([path] * len(at), pa.string()), pa.array(at, pa.int64()),
              pa.array(texts, pa.string())], names=["path", "at", "record"])
 
-    tasks = min(ranges.count(), MOST_TASKS) or 1
-    return ranges.repartition(tasks, "path", "first").mapInArrow(emit, schema)
+    return dealt(ranges).mapInArrow(emit, schema)
 
 
 def _parsed(record: Column, schema: T.StructType, sep: str, strict: bool) -> Column:

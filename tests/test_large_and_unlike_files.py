@@ -67,6 +67,21 @@ def test_a_large_quoted_file_is_many_tasks(spark, tmp_path):
     assert ranges.read_ranges(files.where("false"), SCHEMA, "\t").collect() == []
 
 
+def test_small_ranges_share_tasks(spark, tmp_path):
+    data = []
+    for i in range(3):
+        text, rows = quoted_text(random.Random(i), 200, "\n", True)
+        data += rows
+        (tmp_path / f"{i}.tsv").write_bytes(text.encode())
+    files = list_files(spark, str(tmp_path))
+    cut = ranges.file_ranges(files, 16)
+    assert cut.count() > 500
+    got = ranges.read_ranges(files, SCHEMA, "\t", range_bytes=16)
+    assert got.rdd.getNumPartitions() <= ranges.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert sorted((tuple(r)[1:] for r in got.collect()), key=str) == sorted(
+        (tuple(c or None for c in row) for row in data), key=str)
+
+
 def test_bad_files_are_errors(spark, tmp_path):
     (tmp_path / "x.tsv").write_text("a\tc\tb b\n1\t2\t3\n")
     (tmp_path / "y.tsv").write_text("a\tb b\tc\n1\t2\n")
