@@ -16,6 +16,10 @@ from quizlens.values import DEFAULT_LANG
 
 
 ROWS_PER_TASK = 2_000
+#: Up to so many partitions Spark's shuffle writes rows straight to files
+#: (``spark.shuffle.sort.bypassMergeThreshold``).
+FEW_TASKS = 200
+_NUMBER = "_number"
 
 
 def ask(spark: SparkSession, pictures: str | DataFrame, catalogue_path: str, model: str,
@@ -40,9 +44,19 @@ def spread(requests: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame
 
     A listing has few partitions, and a model call costs far more than a shuffle
     of paths. A lost executor loses no more than the tasks it was at.
+
+    The rows are stored with a number each and dealt by its hash, so a task that runs
+    again deals as before and no rows are sorted for that. They go by way of few
+    partitions, which Spark writes without gathering rows in memory: one task may read
+    a whole listing, and dealt straight to thousands of tasks it would hold all of it.
     """
+    numbered = stored(requests.withColumn(_NUMBER, F.monotonically_increasing_id()), "requests")
     cores = requests.sparkSession.sparkContext.defaultParallelism
-    return requests.repartition(max(cores, -(-requests.count() // rows_per_task)))
+    tasks = max(cores, -(-numbered.count() // rows_per_task))
+    if tasks > FEW_TASKS:
+        # The column between both keeps Spark from making one shuffle of them.
+        numbered = numbered.repartition(FEW_TASKS, _NUMBER).withColumn(_NUMBER, F.xxhash64(_NUMBER))
+    return numbered.repartition(tasks, _NUMBER).drop(_NUMBER)
 
 
 def save(answers: DataFrame, folder: str, line_folder: str | None = None) -> None:

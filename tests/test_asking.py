@@ -221,6 +221,18 @@ def test_rows_per_task(spark):
     assert ask_plan.spread(spark.range(5), 10).rdd.getNumPartitions() == cores
 
 
+def test_spreading_holds_no_whole_listing_in_a_task(spark):
+    """One partition goes to 500 tasks: unsorted, and by way of few partitions."""
+    same = spark.range(5000).coalesce(1).select(F.lit("same").alias("path"), "id")
+    dealt = ask_plan.spread(same, 10)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobin" not in plan and plan.count("Exchange hashpartitioning") == 2
+    assert dealt.columns == ["path", "id"] and dealt.rdd.getNumPartitions() == 500
+    assert sorted(r.id for r in dealt.collect()) == list(range(5000))
+    most = ask_plan.spread(same.select("path"), 10).groupBy(F.spark_partition_id()).count()
+    assert most.agg(F.max("count")).first()[0] < 50
+
+
 def test_each_request_is_answered_once(all_models, tmp_path):
     make = counting_responder(str(tmp_path))
     answering.answer_two_questions(all_models, make).write.format("noop").mode("overwrite").save()
