@@ -3,6 +3,7 @@
 import glob
 import json
 import os
+import re
 import uuid
 
 import numpy as np
@@ -97,6 +98,23 @@ def test_ledger_keys(spark, asked, tmp_path):
                                        str(tmp_path / "none")).collect() == []
 
 
+def test_a_round_reads_its_own_rows_only(spark, asked, tmp_path, monkeypatch):
+    plans, answer = [], resuming.answer_batches
+
+    def noted(requests, *args, **options):
+        plans.append(requests._jdf.queryExecution().executedPlan().toString())
+        return answer(requests, *args, **options)
+
+    monkeypatch.setattr(resuming, "answer_batches", noted)
+    answered = resuming.answer_with_ledger(
+        asked, answering.make_plain_responder, str(tmp_path / "ledger"), rows_per_round=20)
+    assert len(plans) >= 2 * 4 and all(
+        re.search(r"PartitionFilters: \[[^]]*_part", p) for p in plans)
+    assert answered.count() == 72
+    assert resuming.in_rounds({0: 9, 1: 12, 2: 8, 3: 30, 5: 1}, 20) == [[0], [1, 2], [3], [5]]
+    assert resuming.in_rounds({}, 20) == []
+
+
 SEVEN = ["id", "path", "dataset", "city", "subject", "answer_1", "answer_2"]
 
 
