@@ -5,6 +5,10 @@ writes one marker, named after the run, that lists all moves, and moves the
 files. The marker is the commit: a run whose marker is there adds nothing, and
 moves that a stopped driver left undone are made up for by the next append of
 that run. A task or job that fails leaves no visible file.
+
+A task that is being stopped may still write when the driver clears up. So the driver
+makes the staging folder, tasks make none but those inside it, and clearing up moves it
+away before it is deleted: what comes later finds no folder and ends there.
 """
 
 from __future__ import annotations
@@ -55,7 +59,7 @@ class OnceWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str]):
         self.path, self.side, self.run = (options[k] for k in ("path", "side", "run"))
         self.folders = json.loads(options["folders"])
-        self.staging = f"_staging/{self.run}-{uuid.uuid4().hex}"
+        self.staging = options["staging"]
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Staged:
         filesystem, root = open_folder(self.path)
@@ -68,7 +72,7 @@ class OnceWriter(DataSourceArrowWriter):
             for folder, lines in self.by_folder(table.filter(pc.invert(unsafe))):
                 if folder not in streams:
                     name = f"{folder}{self.run}-{task}.txt"
-                    filesystem.create_dir(f"{root}/{self.staging}/{folder}", recursive=True)
+                    below_staging(filesystem, f"{root}/{self.staging}", folder)
                     streams[folder] = filesystem.open_output_stream(
                         f"{root}/{self.staging}/{name}")
                     out.moves.append((False, f"{self.staging}/{name}", name))
@@ -79,7 +83,6 @@ class OnceWriter(DataSourceArrowWriter):
                 if side is None:
                     to, below = open_folder(self.side)
                     name = f"{self.run}-{task}.parquet"
-                    to.create_dir(f"{below}/{self.staging}", recursive=True)
                     side = pq.ParquetWriter(f"{below}/{self.staging}/{name}", rows.schema,
                                             filesystem=to)
                     out.moves.append((True, f"{self.staging}/{name}", name))
@@ -131,7 +134,18 @@ class OnceWriter(DataSourceArrowWriter):
         for folder in {self.path, self.side}:
             to, below = open_folder(folder)
             if _exists(to, f"{below}/{staging}"):
-                to.delete_dir(f"{below}/{staging}")
+                gone = f"{below}/_staging_cleared-{uuid.uuid4().hex}"
+                to.move(f"{below}/{staging}", gone)
+                to.delete_dir(gone)
+
+
+def below_staging(filesystem: fs.FileSystem, staging: str, folder: str) -> None:
+    """Make the folders of ``folder`` in the staging folder, which has to be there."""
+    path = staging
+    for name in filter(None, folder.split("/")):
+        path += f"/{name}"
+        if not _exists(filesystem, path):
+            filesystem.create_dir(path, recursive=False)
 
 
 def _exists(filesystem: fs.FileSystem, path: str) -> bool:
@@ -163,7 +177,11 @@ def append_once(rows: DataFrame, line: str, reason: str, path: str, side: str, r
     # Of rows that become lines nothing else is sent to the writer.
     kept = [F.col(c) if c in folders else F.when(F.col(reason).isNotNull(), F.col(c)).alias(c)
             for c in others]
+    staging = f"_staging/{run}-{uuid.uuid4().hex}"
+    for folder in (path, side):
+        to, below = open_folder(qualified(spark, folder))
+        to.create_dir(f"{below}/{staging}", recursive=True)
     rows.select(*kept, F.col(line).alias("_line"), F.col(reason).alias("_reason")).write.format(
         _FORMAT).mode("append").options(
-        path=qualified(spark, path), side=qualified(spark, side), run=run,
+        path=qualified(spark, path), side=qualified(spark, side), run=run, staging=staging,
         folders=json.dumps(list(folders))).save()

@@ -7,6 +7,7 @@ import re
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -168,6 +169,22 @@ def test_a_failing_task_leaves_nothing(spark, tmp_path):
     assert spark.read.parquet(side).count() == 50
 
 
+@pytest.mark.parametrize("folders", [[], ["model", "lang"]])
+def test_a_task_that_writes_after_the_clearing_leaves_nothing(tmp_path, folders):
+    path, side = str(tmp_path / "lines"), str(tmp_path / "side")
+    for folder in (path, side):
+        os.makedirs(f"{folder}/_staging/r-1")
+    writer = once.OnceWriter({"path": f"file:{path}", "side": f"file:{side}", "run": "r",
+                              "staging": "_staging/r-1", "folders": json.dumps(folders)})
+    writer.abort([])
+    for reason in (None, "separator"):
+        batch = pa.RecordBatch.from_pydict({"model": ["m"], "lang": ["eng"], "_line": ["x"],
+                                            "_reason": pa.array([reason], pa.string())})
+        with pytest.raises(OSError):
+            writer.write(iter([batch]))
+    assert not glob.glob(f"{path}/_staging*/*") and not glob.glob(f"{side}/_staging*/*")
+
+
 def test_moves_that_a_stopped_driver_left_are_made(spark, tmp_path, monkeypatch):
     path, side = str(tmp_path / "lines"), str(tmp_path / "side")
     os.makedirs(f"{path}/_staging/r-old/model=m/lang=eng")
